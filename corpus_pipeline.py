@@ -1,8 +1,54 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, line dedup, near-duplicates, decontamination, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); what it returns is written and read again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import bpe, decontam, linededup, quality, simhash
+from leafmill.llm.common import shared_dir, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines stay in the smallest document that has them."""
+    return linededup.dedup(docs)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return simhash.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, packed; they decode to the document's text."""
+    return bpe.encode(docs, public_tokenizers.path(bpe.RANKS)).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+STAGES = [("quality", keep_good), ("line_dedup", drop_lines), ("near_dedup", keep_one), ("decontaminate", drop_leaks), ("encode", encode)]
+#: The classifier and the tokenizer can't be put into SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import audio, bpe, langid, linededup, secrets, simhash, warc
+from leafmill.llm import audio, bpe, decontam, langid, linededup, quality, secrets, simhash, warc
 from leafmill.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(remainder(3) != 1))
+    return quality.scores(docs, model).withColumn("held_out", remainder(3) == 1).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,5 +54,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_line_dedup, op5_media_columns, op7_warc, op9_secret_scan, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_byte_bpe, op4_line_dedup, op5_media_columns, op6_quality, op7_warc, op9_secret_scan, op10_simhash)}
 SQL = {"op4_line_dedup": linededup.SQL, "op7_warc": warc.SQL}
