@@ -56,7 +56,7 @@ def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CH
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0

@@ -12,6 +12,7 @@ the whole item against the text around the window.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import mixed, parts, utf8
 
 SIMILARITY = 0.8
-STRIDE, REPEATS, SAMPLED = 4, 4, 3
+STRIDE, REPEATS, SAMPLED = 4, 4, 5
 #: Items that are looked for in one pass over the documents; more take more passes.
 BLOCK = 20_000
 
@@ -119,6 +120,10 @@ def edit_match(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int
     return distance, end - length, end
 
 
+def _own(salt: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return ((word ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)
+
+
 class Index:
     """Keys of all windows of some items."""
 
@@ -142,41 +147,61 @@ class Index:
         key, item, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, item, offset))
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.offset = key[order].astype(np.uint64), item[order], offset[order]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.longest = int(self.sizes.max(initial=0))
+        self.counts = [Counter(w.tolist()) for w in self.words]
+        self.limits = ((1 - similarity) * self.sizes + 1e-9).astype(np.int64)
+        self.salts = mixed(np.arange(1, len(items) + 1, dtype=np.uint64))
+        self.own = np.zeros(1 << 23, bool)  # the words of each item; a false hit only costs a verification
+        for i, w in enumerate(self.words):
+            self.own[_own(self.salts[i], w)] = True
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.key >> np.uint64(42)).astype(np.int64)] = True
 
-    def matches(self, word: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, distance, first word, end word): for each document and item the best match, words counted in the batch. at: first word of each document."""
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        if not len(self.key) or not len(word):
-            return []
-        doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    def candidates(self, word: np.ndarray, at: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item and supposed first word of what shares a key, each once."""
+        pairs = []
+        inside = np.arange(len(word)) - at[doc_of]
         for size in [self.size, *self.short]:
-            every = np.arange(len(word))
-            start = every[(every - at[doc_of]) % (self.stride if size == self.size else 1) == 0]
+            start = np.flatnonzero(inside % (self.stride if size == self.size else 1) == 0)
             for r, walk in enumerate(self.walks):
                 k = keys(word, start, size, walk) ^ np.uint64(r)
                 hit = np.flatnonzero(self.seen[(k >> np.uint64(42)).astype(np.int64)])
                 left, right = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
-                for p, a, b in zip(start[hit].tolist(), left.tolist(), right.tolist()):
-                    for x in range(a, b):
-                        d, i = int(doc_of[p]), int(self.item[x])
-                        begin = p - int(self.offset[x])
-                        if (d, i, begin) in tried:
-                            continue
-                        tried.add((d, i, begin))
-                        w = self.words[i]
-                        limit = int((1 - self.similarity) * len(w) + 1e-9)
-                        near = word[max(int(at[d]), begin - limit) : min(int(at[d + 1]), begin + len(w) + limit)]
-                        # Each word in common needs a partner: too few of them and no alignment is within the limit.
-                        if np.isin(w, near).sum() < len(w) - limit:
-                            continue
-                        if (m := edit_match(w, near, limit)) is not None:
-                            base = max(int(at[d]), begin - limit)
-                            mine = (m[0], base + m[1], base + m[2])
-                            if (d, i) not in found or mine < found[d, i]:
-                                found[d, i] = mine
+                n = right - left
+                x = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                p = np.repeat(start[hit], n)
+                begin = p - self.offset[x] + self.longest  # items may begin before the batch's first word
+                pairs.append((doc_of[p] << 16 | self.item[x]) << 32 | begin)  # BLOCK items, and words of a batch, have room
+        found = np.concatenate(pairs)
+        found.sort()
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+        return found >> 48, found >> 32 & 0xFFFF, (found & 0xFFFFFFFF) - self.longest
+
+    def matches(self, word: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, distance, first word, end word): for each document and item the best match, words counted in the batch. at: first word of each document."""
+        if not len(self.key) or not len(word):
+            return []
+        doc, item, begin = self.candidates(word, at, np.repeat(np.arange(len(at) - 1), np.diff(at)))
+        limit, size = self.limits[item], self.sizes[item]
+        first, end = np.maximum(at[doc], begin - limit), np.minimum(at[doc + 1], begin + size + limit)
+        # Each kept word of an item needs a partner in the text: where too few words are the item's own, no alignment is within the limit.
+        keep = np.zeros(len(doc), bool)
+        for lot in range(0, len(doc), 4096):
+            some = slice(lot, lot + 4096)
+            place = first[some, None] + np.arange(int((end - first)[some].max(initial=0)))
+            known = self.own[_own(self.salts[item[some], None], word[np.minimum(place, len(word) - 1)])]
+            keep[some] = (known & (place < end[some, None])).sum(1) >= (size - limit)[some]
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for x in np.flatnonzero(keep).tolist():
+            d, i, a = int(doc[x]), int(item[x]), int(first[x])
+            near = word[a : int(end[x])]
+            if (self.counts[i] & Counter(near.tolist())).total() < len(self.words[i]) - int(limit[x]):
+                continue
+            if (m := edit_match(self.words[i], near, int(limit[x]))) is not None:
+                mine = (m[0], a + m[1], a + m[2])
+                if (d, i) not in found or mine < found[d, i]:
+                    found[d, i] = mine
         return [(d, i, *m) for (d, i), m in sorted(found.items())]
 
 

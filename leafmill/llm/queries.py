@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import audio, bpe, decontam, langid, linededup, quality, secrets, simhash, warc
+from leafmill.llm import audio, bpe, decontam, langid, linededup, quality, secrets, simhash, substrings, warc
 from leafmill.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -54,5 +58,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_byte_bpe, op4_line_dedup, op5_media_columns, op6_quality, op7_warc, op9_secret_scan, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_byte_bpe, op4_line_dedup, op5_media_columns, op6_quality, op7_warc, op8_substring_dedup, op9_secret_scan, op10_simhash)}
 SQL = {"op4_line_dedup": linededup.SQL, "op7_warc": warc.SQL}
