@@ -1,9 +1,10 @@
-"""Session helpers shared by tests, bench and scripts."""
+"""Session helpers: a local session, the package for Python workers, and cutting lineage."""
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -29,3 +30,15 @@ def show_package_to_workers(spark: SparkSession) -> None:
     have = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([*have, ROOT])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the folder that spark.checkpoint.dir names; only a local session may have one of its own."""
+    spark = df.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="leafmill-"))
+    return df.checkpoint(eager=True)
