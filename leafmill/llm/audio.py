@@ -25,6 +25,8 @@ FRAME, HOP, BANDS, FRAMES = 256, 128, 24, 64
 #: Above and below the median log energy; frames that an active stretch has at least.
 ON, OFF, LEAST = 0.25, 0.05, 2
 UNIT = 576
+#: Samples that are resampled at a time, so that a long text takes little more memory than its samples.
+BLOCK = 1 << 16
 
 
 def padded(data: bytes, unit: int = UNIT) -> bytes:
@@ -66,8 +68,10 @@ def resampled(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     view = np.lib.stride_tricks.sliding_window_view(x, taps)
     out = np.empty(n, np.float32)
     for k in range(min(up, n)):  # outputs k, k + up, ... share a phase, and their inputs lie `down` apart
-        at = np.arange(k, n, up) * down // up
-        out[k::up] = view[at] @ h[(k * down) % up, ::-1]
+        for first in range(k, n, BLOCK * up):
+            last = min(n, first + BLOCK * up)
+            at = np.arange(first, last, up) * down // up
+            out[first:last:up] = view[at] @ h[(k * down) % up, ::-1]
     return out
 
 

@@ -176,6 +176,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         begin = starts(symbols(points, ends))

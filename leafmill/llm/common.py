@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of the DataFrame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: computed once, and safe when executors are lost."""
     shared_dir(df.sparkSession)

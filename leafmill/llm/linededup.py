@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, parts
+from leafmill.llm.common import cut, parts, spare
 
 LEAST = 10
 STRIP = " \t\n\v\f\r"
@@ -121,43 +121,48 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[list[str], int]:
     return [x for k, x in enumerate(lines) if k >= len(bits) or bits[k]], len(lines)
 
 
-def _with_bitmaps(docs: DataFrame, least: int) -> DataFrame:
-    maps = bitmaps(docs, least).withColumnsRenamed({"doc_id": "__id", "same": "__same"})
-    left = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _same().alias("__own"))
-    return left.join(maps, (left["doc_id"] == maps["__id"]) & (left["__own"] == maps["__same"]), "left").drop("__id", "__same", "__own").withColumnRenamed("keep", "__keep")
+def _with_bitmaps(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
+    """The documents with a column for their bitmaps, and its name."""
+    maps, keep = bitmaps(docs, least), spare(docs, "keep")
+    maps = maps.select(F.col("doc_id").alias(i := spare(docs, "id")), F.col("same").alias(s := spare(docs, "same")), F.col("keep").alias(keep))
+    joined = docs.join(maps, (docs["doc_id"] == maps[i]) & (F.xxhash64(F.lit("line"), docs["text"]) == maps[s]), "left")
+    return joined.drop(i, s), keep
 
 
 def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the lines that stay, for every document."""
 
+    told, name = _with_bitmaps(docs.select("doc_id", "text"), least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, limit=4 << 20):
             rows = []
-            for text, keep in zip(b.column("text").to_pylist(), b.column("__keep").to_pylist()):
+            for text, keep in zip(b.column("text").to_pylist(), b.column(name).to_pylist()):
                 kept, n = kept_lines(text, keep)
                 rows.append((n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_bitmaps(docs.select("doc_id", "text"), least).mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+    return told.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with their lines dropped; other columns as they were, null texts stay null, n_chars (if there) follows the text."""
     names, schema = docs.columns, docs.schema
+    told, name = _with_bitmaps(docs, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, limit=4 << 20):
-            texts = b.column("text").to_pylist()
-            new = [t if k is None else "\n".join(kept_lines(t, k)[0]) for t, k in zip(texts, b.column("__keep").to_pylist())]
+            texts, maps = b.column("text").to_pylist(), b.column(name).to_pylist()
+            new = [t if k is None else "\n".join(kept_lines(t, k)[0]) for t, k in zip(texts, maps)]
             columns = {c: b.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             if "n_chars" in columns:
                 kind = columns["n_chars"].type
-                columns["n_chars"] = pa.array([n if t is None or k is None else len(t) for t, k, n in zip(new, b.column("__keep").to_pylist(), columns["n_chars"].to_pylist())], kind)
+                columns["n_chars"] = pa.array([n if t is None or k is None else len(t) for t, k, n in zip(new, maps, columns["n_chars"].to_pylist())], kind)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return _with_bitmaps(docs, least).mapInArrow(run, schema)
+    return told.mapInArrow(run, schema)
 
 
 SQL = r"""

@@ -58,10 +58,11 @@ def features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         of = row[first]
         same = np.zeros(len(first), bool)
         same[1:] = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
-        words = np.maximum(np.bincount(of, minlength=rows), 1)
+        count = np.bincount(of, minlength=rows)
+        words = np.maximum(count, 1)
         out[:, size + 1] = np.sqrt(np.bincount(of[same], minlength=rows) / words)
         out[:, size + 2] = np.sqrt(np.bincount(of[(shape[first] == 2) & (shape[np.minimum(first + 1, len(buf) - 1)] == 2)], minlength=rows) / words)
-        out[:, size + 3] = words / np.maximum(n, 1)
+        out[:, size + 3] = count / np.maximum(n, 1)
     return out
 
 

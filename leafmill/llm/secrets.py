@@ -10,13 +10,16 @@ from __future__ import annotations
 import random
 import re
 import string
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import parts
+
 KINDS = ("assign", "access", "hex", "random")
 _word = "".join  # letters in either case, ASCII only
 ASSIGN = re.compile(
@@ -48,6 +51,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as disjoint ones, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def overlaps(spans: list[tuple[int, int]], s: int, e: int) -> bool:
+    """Whether one of some disjoint spans in order has a place of s..e."""
+    k = bisect_left(spans, (e,))
+    return k > 0 and spans[k - 1][1] > s
+
+
 def training_strings(n: int = 4000, seed: int = 7) -> list[str]:
     """Labelled random strings."""
     rng = random.Random(seed)
@@ -117,20 +137,18 @@ def scan(docs: DataFrame, chains: Chains | None = None) -> DataFrame:
         own = Chains.__new__(Chains)
         own.ratio = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float32())]))
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                out = []
-                for t in part.column("text").to_pylist():
-                    found = [(*x, None) for x in base_spans(t)] if t else []
-                    if t:
-                        base = list(found)
-                        for m in CANDIDATE.finditer(t):
-                            s, e = m.span()
-                            if not any(x[0] < e and x[2] > s for x in base) and (score := own.score(m[0])) >= LEAST:
-                                found.append((s, 3, e, score))
-                    out.append([{"kind": KINDS[k], "start": s, "end": e, "score": r} for s, k, e, r in sorted(found, key=lambda x: x[:3])])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
+        for part in parts(batches):
+            out = []
+            for t in part.column("text").to_pylist():
+                found = [(*x, None) for x in base_spans(t)] if t else []
+                if t:
+                    taken = merged((s, e) for s, _, e, _ in found)
+                    for m in CANDIDATE.finditer(t):
+                        s, e = m.span()
+                        if not overlaps(taken, s, e) and (score := own.score(m[0])) >= LEAST:
+                            found.append((s, 3, e, score))
+                out.append([{"kind": KINDS[k], "start": s, "end": e, "score": r} for s, k, e, r in sorted(found, key=lambda x: x[:3])])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,score:float>>")
 

@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Roots, cut, parts
+from leafmill.llm.common import Roots, cut, parts, spare
 
 SEGMENTS = 16
-#: Fingerprints of a bucket that meet in one cell.
-CELL = 4096
+#: Fingerprints of a bucket that meet in one cell, and buckets larger than that which are broadcast.
+CELL, FEW = 4096, 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
@@ -53,8 +53,8 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """doc_id and fp, an array of one 64-bit fingerprint (as signed long) for each seed; a text without words has zeros."""
+def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), same: Column | None = None) -> DataFrame:
+    """doc_id, same (a long that goes along) and fp, an array of one 64-bit fingerprint (as signed long) for each seed; a text without words has zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -63,9 +63,10 @@ def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,)
                 h = shingle_hashes(text, words)
                 # One hash of each shingle; further seeds mix it anew.
                 out.append([_signed(majority(h if s == 42 else _again(h, s))) for s in seeds])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "same", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp array<long>")
+    along = F.lit(0).cast("long") if same is None else same
+    return docs.select("doc_id", "text", along.alias("same")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same long, fp array<long>")
 
 
 def _signed(x: int) -> int:
@@ -96,73 +97,85 @@ def chained(x: np.ndarray, start: int, budget: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _cell_links(batches: Iterator[pa.RecordBatch], limit: int, lanes: int, lane_budget: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Links within cells: rows come sorted by cell. Each cell yields a spanning forest of its links."""
-
-    def forest(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        n = t.num_rows
-        if n < 2:
-            return None
-        fp = np.array(t.column("fp").combine_chunks().flatten()).astype(np.int64).view(np.uint64).reshape(n, lanes)
-        node, start, lane = t.column("node").to_numpy(), t.column("start")[0].as_py(), t.column("lane")[0].as_py()
-        roots, links = Roots(n), []
-        for i in range(n - 1):
-            x = fp[i + 1 :] ^ fp[i]
-            near = np.bitwise_count(x).sum(1) <= limit
-            if lane_budget is not None:  # the chain of the bucket comes first, then the distance
-                near &= chained(x[:, lane], start, lane_budget)
-            for j in (np.flatnonzero(near) + i + 1).tolist():
+def _groups(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """key, nodes and fingerprints (a row of lanes each) of every cell with two rows or more; rows come sorted by cell."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def parted(rows: list[tuple[np.ndarray, ...]], last: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        key, cell, node, fp = (np.concatenate(c) for c in zip(*rows))
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+        begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
+        # The last cell may go on in the next batch.
+        for k in np.flatnonzero(end - begin > 1).tolist():
+            if last or k < len(begin) - 1:
+                yield int(key[begin[k]]), node[begin[k] : end[k]], fp[begin[k] : end[k]]
+        rows[:] = [] if last else [tuple(c[begin[-1] :] for c in (key, cell, node, fp))]
+
+    for b in batches:
+        if b.num_rows:
+            fp = np.asarray(b.column("fp").flatten()).view(np.uint64).reshape(-1, lanes)
+            rows = b.column("key").to_numpy(), b.column("cell").to_numpy(), b.column("node").to_numpy(), fp
+            whole = len(held) and held[0][0][0] == rows[0][-1] and held[0][1][0] == rows[1][-1]
+            held.append(rows)
+            if not whole:  # else all of it belongs to the cell that is held
+                yield from parted(held, False)
+    if held:
+        yield from parted(held, True)
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch], limit: int, lanes: int, shift: int, budget: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each cell's links. The key's chain is followed first, within its budget, then come all lanes."""
+    for key, node, fp in _groups(batches, lanes):
+        lane, start = divmod((key % (1 << 64)) >> shift, SEGMENTS)
+        own = fp[:, lane].copy()
+        roots, links = Roots(len(node)), []
+        for i in range(len(node) - 1):
+            x = own[i + 1 :] ^ own[i]
+            near = np.flatnonzero(np.bitwise_count(x) <= budget[-1])
+            if not len(near):
+                continue
+            near = near[chained(x[near], start, budget)]
+            if lanes > 1:
+                near = near[np.bitwise_count(fp[near + i + 1] ^ fp[i]).sum(1) <= limit]
+            for j in (near + i + 1).tolist():
                 if roots.find(i) != roots.find(j):
                     roots.join(i, j)
                     links.append((node[i], node[j]))
-        if not links:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
-
-    now, held = None, []
-    for b in batches:
-        cell = list(zip(*(b.column(c).to_pylist() for c in ("key", "start", "lane", "ci", "cj"))))
-        first = 0
-        while first < len(cell):
-            last = first
-            while last < len(cell) and cell[last] == cell[first]:
-                last += 1
-            if cell[first] != now:
-                if held and (out := forest(held)) is not None:
-                    yield out
-                now, held = cell[first], []
-            held.append(b.slice(first, last - first))
-            first = last
-    if held and (out := forest(held)) is not None:
-        yield out
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
 
 def links(nodes: DataFrame, limit: int, lanes: int = 1, chain: int | None = None) -> DataFrame:
     """a, b: links between nodes (node long, fp array<long>) that join what differs in at most `limit` bits in all.
 
-    With one lane this is exact: the key is the chain's stretch without budget. With more, or with `chain` given, the
-    key is `chain` equal segments of one lane, which finds a link with a probability that falls with its distance.
+    With one lane this is exact: there is a key for each start on the ring, the chain's stretch without budget. With
+    more, the limit is too wide for that; keys are stretches of `chain` equal segments, side by side in every lane,
+    the chain goes on around its lane within LANE bits, and a link is found with a probability that falls with its
+    distance (see the README).
     """
     exact = lanes == 1 and chain is None
-    budget = ring_budget(SEGMENTS, limit) if exact else None
-    length = (int((budget == 0).sum()) if exact else chain) or 1
+    budget = ring_budget(SEGMENTS, limit if exact else LANE)
+    length = int((budget == 0).sum()) if exact else chain
     width = 64 // SEGMENTS
-    mask = (1 << width * length) - 1
+    shift = width * length
+    if not length:
+        raise ValueError(f"{SEGMENTS} segments are too few for a limit of {limit} bits")
 
     def key(lane: int, start: int) -> Column:
         x, at = F.col("fp")[lane], width * start
         turned = x if at == 0 else F.shiftrightunsigned(x, at).bitwiseOR(F.shiftleft(x, 64 - at))
-        return F.struct(turned.bitwiseAND(F.lit(mask)).alias("key"), F.lit(start).alias("start"), F.lit(lane).alias("lane"))
+        return turned.bitwiseAND(F.lit((1 << shift) - 1)).bitwiseOR(F.lit(_signed((lane * SEGMENTS + start) << shift)).cast("long"))
 
-    keyed = nodes.select("node", "fp", F.explode(F.array(*(key(i, s) for i in range(lanes) for s in range(SEGMENTS)))).alias("k")).select("node", "fp", "k.*")
-    # A bucket of more than CELL nodes is dealt into blocks; each pair of blocks is a cell.
-    size = keyed.groupBy("key", "start", "lane").count().where(F.col("count") > 1).withColumn("blocks", F.ceil(F.col("count") / CELL).cast("int")).drop("count")
+    keys = F.array(*(key(i, s) for i in range(lanes) for s in range(0, SEGMENTS, 1 if exact else chain)))
+    # A bucket of more than CELL nodes is dealt into blocks; each pair of blocks is a cell. Such buckets are few: known, they go to all tasks if they are.
+    large = cut(nodes.select(F.explode(keys).alias("key")).groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")))
+    keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
+    told = keyed.join(F.broadcast(large) if large.count() <= FEW else large, "key", "left")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("ci"), F.greatest(j, block).alias("cj")))
-    cells = keyed.join(size, ["key", "start", "lane"]).select("node", "fp", "key", "start", "lane", F.explode(pairs).alias("c")).select("node", "fp", "key", "start", "lane", "c.ci", "c.cj")
-    place = ["key", "start", "lane", "ci", "cj"]
-    return cells.repartition(*place).sortWithinPartitions(*place).mapInArrow(lambda x: _cell_links(x, limit, lanes, budget), "a long, b long").distinct()
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.shiftleft(F.least(j, block).cast("long"), 32).bitwiseOR(F.greatest(j, block).cast("long")))
+    cells = told.select("node", "fp", "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("cell"))
+    found = cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda x: _cell_links(x, limit, lanes, shift, budget), "a long, b long")
+    return found.distinct()
 
 
 def components(found: DataFrame, rounds: int = 60) -> DataFrame:
@@ -190,15 +203,18 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def classes(prints: DataFrame, limit: int, lanes: int = 1, chain: int | None = None) -> DataFrame:
+def classes(prints: DataFrame, limit: int, lanes: int = 1, chain: int | None = None, tie: str | None = None) -> DataFrame:
     """fp, first: for each distinct fingerprint the smallest doc_id of its component. prints: doc_id, fp.
 
-    Null ids are never the smallest unless there is no other.
+    Null ids are never the smallest unless there is no other. tie: a column whose smallest value at `first` is
+    first_tie.
     """
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (F.col(tie) if tie else F.lit(0)).alias("tie")))
+    nodes = cut(prints.groupBy("fp").agg(least.alias("least")).withColumn("node", F.monotonically_increasing_id()))
     tree = components(links(nodes.select("node", "fp"), limit, lanes, chain))
     rooted = nodes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rooted.select("fp", "root", "least").join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    return rooted.select("fp", "root").join(best, "root").select("fp", F.col("best.doc_id").alias("first"), F.col("best.tie").alias("first_tie"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2) -> DataFrame:
@@ -212,17 +228,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2) -> DataFram
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-#: For keep_one: 256 bits of 5-word shingles; a Jaccard similarity of 0.8 is an angle of 27 degrees and 39 bits on average.
-WORDS, SEEDS, NEAR, CHAIN = 5, (42, 43, 44, 45), 46, 5
+#: For keep_one: five-word shingles, eight lanes. At a Jaccard similarity of 0.8 vectors of shingles stand at an angle of 27 degrees: 78 of 512
+#: bits differ on average, give or take 8; NEAR takes nine of ten such pairs. CHAIN segments are 16 bits, so that there are 32 keys.
+WORDS, SEEDS, NEAR, CHAIN = 5, tuple(range(42, 50)), 88, 4
+#: Bits of one lane that a chain may differ in: where 7 do on average at that similarity.
+LANE = 16
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group of near copies (by five-word shingles, similarity 0.8): that of the smallest id, of equal ids one.
+    """The documents, one of each group of near copies (by five-word shingles, similarity 0.8): that of the smallest id.
 
-    Rows come out with all their columns. Documents without a word are copies of each other. Documents without an id
-    stay only if their group has no id, and then one of them.
+    Rows come out with all their columns. Of equal rows one stays; rows with equal ids and different texts are different
+    documents. Documents without a word are copies of each other. A document without an id stays only if its group has
+    no id at all, and then one of them.
     """
-    prints = cut(fingerprints(docs, WORDS, SEEDS).distinct())
-    kept = prints.join(classes(prints, NEAR, len(SEEDS), CHAIN), "fp").where(F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id")).distinct()
-    whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return whole.dropDuplicates(["doc_id"])
+    text = lambda df: F.xxhash64(F.lit("copy"), df["text"])
+    prints = cut(fingerprints(docs, WORDS, SEEDS, text(docs)).distinct())
+    found = prints.join(classes(prints, NEAR, len(SEEDS), CHAIN, tie="same"), "fp")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("same") == F.col("first_tie"))).select("doc_id", "same").distinct()
+    whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (text(docs) == kept["same"]), "left_semi")
+    same = spare(docs, "same")
+    return whole.withColumn(same, text(whole)).dropDuplicates(["doc_id", same]).drop(same)
