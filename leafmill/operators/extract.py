@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import links
+from leafmill.functions.fence import fence
 from leafmill.functions.pages import parse_pages
 from leafmill.functions.sniffing import decode_text
 from leafmill.schema import Options, ReadError, as_error
@@ -109,7 +110,7 @@ def extract(jobs: DataFrame, options: Options = Options(), backend: Backend = pd
 
     jobs: with path, format (null where detection failed) and content. Nothing is read of rows without a format.
     """
-    with_text = jobs.withColumn("text", decode_text(F.when(F.col("format") == "md", F.col("content"))))
+    with_text = jobs.withColumn("text", fence(decode_text(F.when(F.col("format") == "md", F.col("content")))))
     told = with_assets(with_text, files)
     stage = _stage(options, backend)
     return told.withColumn("read", stage(F.col("format"), F.when(F.col("format") != "md", F.col("content")), F.when(F.col("format") == "md", F.col("text")), F.col("assets")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.charclass import WS
 from leafmill.operators.extract import Backend
+from leafmill.operators.units import FIELDS
 from leafmill.schema import BLOCK, ReadError, as_error
 from leafmill.sources import pdf
 from leafmill.sources.images import upright_png
@@ -120,12 +121,17 @@ def block_text(blocks: Column) -> Column:
 
 
 def _merged(u: Column, r: Column) -> Column:
+    """A unit with what was recognised (null if nothing was asked), field by field, without its request."""
+    bad = r["error_type"].isNotNull()
+    done = r.isNotNull() & ~bad
     text = block_text(r["blocks"])
     blank = F.length(F.regexp_replace(text, f"[{WS}]+", "")) == 0
-    warnings = F.concat(u["warnings"], r["warnings"], F.when(blank, F.array(F.lit("OCR found no text"))).otherwise(F.array().cast("array<string>")))
-    done = u.withField("text", text).withField("markdown", r["markdown"]).withField("warnings", warnings).withField("width_px", r["width_px"]).withField("height_px", r["height_px"]).withField("blocks", r["blocks"]).withField("seconds", r["seconds"])
-    failed = u.withField("status", F.lit("error")).withField("error_type", r["error_type"]).withField("message", r["message"]).withField("seconds", r["seconds"])
-    return F.when(r.isNull(), u).when(r["error_type"].isNotNull(), failed).otherwise(done)
+    said = F.concat(u["warnings"], r["warnings"], F.when(blank, F.array(F.lit("OCR found no text"))).otherwise(F.array().cast("array<string>")))
+    new = {
+        "text": F.when(done, text), "markdown": F.when(done, r["markdown"]), "warnings": F.when(done, said), "seconds": r["seconds"], "width_px": r["width_px"], "height_px": r["height_px"], "blocks": r["blocks"],
+        "status": F.when(bad, F.lit("error")), "error_type": r["error_type"], "message": r["message"],
+    }
+    return F.struct(*((F.coalesce(new[k], u[k]) if k in new else u[k]).alias(k) for k in FIELDS if k != "request"))
 
 
 def recognise(documents: DataFrame, factory: Callable[[], Engine] = NoEngine, backend: Backend = pdf.default) -> DataFrame:
@@ -138,6 +144,6 @@ def recognise(documents: DataFrame, factory: Callable[[], Engine] = NoEngine, ba
     needs_file = F.exists(asked, lambda r: r["blob"].isNull())
     stage = _stage(factory, backend)
     out = documents.withColumn("__found", stage(F.when(needs_file, F.col("content")), F.when(F.size(asked) > 0, requests)))
-    units = F.transform("units", lambda u, k: _merged(u, F.get(F.col("__found"), k)).dropFields("request"))
+    units = F.transform("units", lambda u, k: _merged(u, F.get(F.col("__found"), k)))
     total = lambda name: F.aggregate("__found", F.lit(0.0), lambda s, r: s + F.coalesce(F.bround(r[name], 2), F.lit(0.0)))
     return out.withColumn("units", units).withColumn("ocr_seconds", F.coalesce(F.bround(total("seconds"), 2), F.lit(0.0))).withColumn("load_seconds", F.coalesce(F.bround(total("load_seconds"), 2), F.lit(0.0))).drop("__found")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import sniffing
+from leafmill.functions.fence import fence
 from leafmill.operators import documents as D
 from leafmill.operators import extract, ocr, units
 from leafmill.operators.folders import with_folders
@@ -43,8 +44,8 @@ def versions(fmt: Column) -> Column:
 
 def detected(jobs: DataFrame) -> DataFrame:
     """Adds sha256, format, error_type, message and warnings of detection. jobs: as by inputs.scan()."""
-    told = jobs.withColumn("__magic", sniffing.sniff(F.col("content"))).withColumn("__office", sniffing.office_kind(F.col("content"), F.col("__magic")))
-    told = told.withColumn("__is", sniffing.detect(F.col("name"), F.col("length"), F.col("__magic"), F.col("__office")))
+    told = jobs.withColumn("__magic", fence(sniffing.sniff(F.col("content")))).withColumn("__office", sniffing.office_kind(F.col("content"), F.col("__magic")))
+    told = told.withColumn("__is", fence(sniffing.detect(F.col("name"), F.col("length"), F.col("__magic"), F.col("__office"))))
     gone = F.col("missing")
     return told.select(
         *jobs.columns,

@@ -18,7 +18,7 @@ ARRIVALS = "path string, modificationTime timestamp, length long, content binary
 
 
 def arrivals(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
-    """A stream of the files of known extensions below a folder, as jobs (see sources.inputs.COLUMNS) with the time of their last change."""
+    """A stream of the files of known extensions below a folder, as jobs (see sources.inputs.COLUMNS) with the time of their last change. Spark's stream passes empty files over."""
     found = spark.readStream.format("binaryFile").schema(ARRIVALS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_at_once).load(folder)
     name = F.substring_index("path", "/", -1)
     known = format_of(suffix(name)).isNotNull() & ~name.startswith("~$")
