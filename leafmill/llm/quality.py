@@ -130,21 +130,21 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     good_share = counts[1] / sum(counts.values())
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     part = F.when(F.col("quality") == 1, min(1.0, labelled * 2 / 3 / counts[1])).otherwise(min(1.0, labelled / 3 / max(1, counts.get(0, 1))))
-    some = marks.where(draw < part)
-    texts = docs.select("doc_id", "text")
-    rest = texts.where(F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, unlabelled / n)))
-    chosen = texts.join(some, "doc_id").select("text", "quality").unionByName(rest.select("text", F.lit(-1).cast("int").alias("quality")))
+    some = F.broadcast(marks.where(draw < part))  # about `labelled` ids, whatever the input
+    sampled = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, unlabelled / n))
+    parts_of = F.explode(F.array_compact(F.array(F.col("quality").cast("int"), F.when(sampled, F.lit(-1)))))
+    chosen = docs.select("doc_id", "text").join(some, "doc_id", "left").select("text", parts_of.alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             x = features(*utf8(b.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "x"])
 
-    found = chosen.mapInArrow(run, "quality int, x binary").sort("quality", "x").toArrow()
-    kind = found.column("quality").to_numpy()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(len(kind), -1).astype(np.float32)
-    if not (kind == 1).any():
+    found = sorted(zip(*chosen.mapInArrow(run, "quality int, x binary").toArrow().to_pydict().values()))  # an order that doesn't depend on tasks
+    if not any(k == 1 for k, _ in found):
         return Model()
+    kind = np.array([k for k, _ in found])
+    x = np.frombuffer(b"".join(v for _, v in found), np.float16).reshape(len(kind), -1).astype(np.float32)
     w, b = pu_fit(x[kind == 1], x[kind == -1] if (kind == -1).any() else x, good_share)
     scale, shift = calibrated(x[kind >= 0] @ w + b, kind[kind >= 0] == 1)
     return Model((w * scale).astype(np.float32), b * scale + shift)
