@@ -1,8 +1,8 @@
 """Is a text layer trustworthy? Counts by character class, metrics, a verdict, and the route of a page.
 
-All are native expressions. They come in steps (counts, metrics, verdict, route), each over the struct that the step
-before gave, so that the regular expressions run once whether the steps are columns of a DataFrame or are nested in
-transform() over an array of pages.
+All are native expressions. They come in steps (pieces, sorted_out, counts, metrics, verdict, route), each over the
+struct that the step before gave, so that a regular expression runs once whether the steps are columns of a DataFrame
+or are nested in transform() over an array of pages.
 
 Null text counts as empty: zero counts, and a verdict of usable (nothing speaks against it).
 """
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import charclass as cc
+from leafmill.functions.fence import fence
 from leafmill.schema import Thresholds
 
 # Parts of the names of fonts whose text is known to be garbled, in lower case.
@@ -29,31 +30,38 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, f"[{cc.WS}]+", "")
 
 
-def counts(text: Column) -> Column:
-    """A struct of counts. Classes other than Latin are sought only in what is neither Latin nor blank."""
+def pieces(text: Column) -> Column:
+    """A struct of the text (null as empty), its characters that aren't blank, and what is neither Latin nor blank."""
     t = F.coalesce(text, F.lit(""))
-    chars = F.length(squeezed(t))
-    rest = F.regexp_replace(t, f"[{cc.WS}{cc.LATIN}]+", "")
-    known = f"{cc.INDIC}{cc.ARABIC}{cc.COMMON}"
-    none = F.regexp_replace(rest, f"[{cc.BAD}{cc.UNASSIGNED}]+", "")
-    private = F.length(F.regexp_replace(rest, f"[^{cc.PRIVATE}]+", ""))
-    indic = _only(none, cc.INDIC)
-    word = f"[^{cc.WS}]*"
-    mixed = f"{word}(?:[{cc.INDIC}]{word}[{cc.FOREIGN}]|[{cc.FOREIGN}]{word}[{cc.INDIC}]){word}"
-    if_indic = lambda x: F.when(indic > 0, x).otherwise(F.lit(0))
+    return F.struct(t.alias("text"), F.length(squeezed(t)).alias("chars"), F.regexp_replace(t, f"[{cc.WS}{cc.LATIN}]+", "").alias("rest"))
+
+
+def sorted_out(p: Column) -> Column:
+    """pieces() with what of the rest isn't bad, and how much of that is Indic."""
+    good = F.regexp_replace(p["rest"], f"[{cc.BAD}{cc.UNASSIGNED}]+", "")
+    return F.struct(p["text"].alias("text"), p["chars"].alias("chars"), p["rest"].alias("rest"), good.alias("good"), _only(good, cc.INDIC).alias("indic"))
+
+
+def counts(p: Column) -> Column:
+    """A struct of counts from sorted_out(). Words and marks of Indic scripts are sought only where there are any."""
+    rest, good = p["rest"], p["good"]
+    # Words with all but Indic and foreign characters gone, a run of Indic ones as i, one of foreign ones as f.
+    only = F.regexp_replace(p["text"], f"[{cc.BAD}{cc.UNASSIGNED}{cc.LATIN}{cc.ARABIC}{cc.COMMON}]+", "")
+    short = F.regexp_replace(F.regexp_replace(only, f"[{cc.INDIC}]+", "i"), f"[^i{cc.WS}]+", "f")
+    if_indic = lambda x: F.when(p["indic"] > 0, x).otherwise(F.lit(0))
     return F.struct(
-        chars.alias("chars"),
-        indic.alias("indic"),
-        _only(none, cc.ARABIC).alias("arabic"),
-        (chars - F.length(rest)).alias("latin"),
-        (F.length(rest) - F.length(none)).alias("bad"),
-        private.alias("private"),
+        p["chars"].alias("chars"),
+        p["indic"].alias("indic"),
+        _only(good, cc.ARABIC).alias("arabic"),
+        (p["chars"] - F.length(rest)).alias("latin"),
+        (F.length(rest) - F.length(good)).alias("bad"),
+        _only(rest, cc.PRIVATE).alias("private"),
         (F.length(rest) - F.length(F.replace(rest, F.lit(chr(cc.REPLACEMENT)), F.lit("")))).alias("replaced"),
-        F.length(F.regexp_replace(none, f"[{known}]+", "")).alias("foreign"),
-        if_indic(F.regexp_count(t, F.lit(f"(?<![{cc.BASE}])[{cc.MARK}]"))).alias("orphans"),
-        if_indic(F.regexp_count(t, F.lit(f"{word}[{cc.INDIC}]{word}"))).alias("indic_words"),
-        if_indic(F.regexp_count(t, F.lit(mixed))).alias("mixed"),
-        F.length(squeezed(F.regexp_replace(t, f"[^{cc.WS}]+", "x"))).alias("words"),
+        F.length(F.regexp_replace(good, f"[{cc.INDIC}{cc.ARABIC}{cc.COMMON}]+", "")).alias("foreign"),
+        if_indic(F.regexp_count(F.regexp_replace(p["text"], f"[^{cc.INDIC}]+", " "), F.lit(f"(?<![{cc.BASE}])[{cc.MARK}]"))).alias("orphans"),
+        if_indic(F.regexp_count(short, F.lit("f?i[if]*"))).alias("indic_words"),
+        if_indic(F.regexp_count(short, F.lit("if[if]*|fi[if]*"))).alias("mixed"),
+        F.length(squeezed(F.regexp_replace(p["text"], f"[^{cc.WS}]+", "x"))).alias("words"),
     )
 
 
@@ -183,13 +191,17 @@ def text_layer(chars: Column, cover: Column, paths: Column, m: Column, r: Column
     )
 
 
+def _measured(df: DataFrame, text: Column, into: str) -> DataFrame:
+    out = df.withColumn("__p", fence(pieces(text))).withColumn("__s", fence(sorted_out(F.col("__p")))).withColumn("__c", fence(counts(F.col("__s"))))
+    return out.withColumn(into, metrics(F.col("__c"))).drop("__p", "__s", "__c")
+
+
 def with_metrics(df: DataFrame, text: str = "text", into: str = "metrics") -> DataFrame:
     """The DataFrame with a struct column of metrics()."""
-    return df.withColumn("__counts", counts(F.col(text))).withColumn(into, metrics(F.col("__counts"))).drop("__counts")
+    return _measured(df, F.col(text), into)
 
 
 def with_route(df: DataFrame, text: Column, cover: Column, paths: Column, fonts: Column | None = None, force: bool = False, t: Thresholds = Thresholds()) -> DataFrame:
     """The DataFrame with struct columns `metrics`, `verdict` and `route`."""
-    out = df.withColumn("__counts", counts(text)).withColumn("metrics", metrics(F.col("__counts"))).drop("__counts")
-    out = out.withColumn("verdict", verdict(F.col("metrics"), fonts, t))
+    out = _measured(df, text, "metrics").withColumn("verdict", fence(verdict(F.col("metrics"), fonts, t)))
     return out.withColumn("route", route(F.col("metrics.chars"), cover, paths, F.col("verdict"), force, t))

@@ -29,8 +29,9 @@ def _judged(items: Column, options: Options) -> Column:
     """Each item with its page's text, counts, metrics, verdict and route: a step for each, as expressions within a step aren't shared."""
     t = options.thresholds
     out = F.transform(items, lambda i: F.struct(i.alias("i"), F.when(i["what"] == "page", F.array_join(i["blocks"], "\n")).alias("text")))
-    out = F.transform(out, lambda x: F.struct(x["i"].alias("i"), quality.counts(x["text"]).alias("c")))
-    out = F.transform(out, lambda x: F.struct(x["i"].alias("i"), quality.metrics(x["c"]).alias("m")))
+    for step in (quality.pieces, quality.sorted_out, quality.counts):
+        out = F.transform(out, lambda x: F.struct(x["i"].alias("i"), step(x["text"]).alias("text")))
+    out = F.transform(out, lambda x: F.struct(x["i"].alias("i"), quality.metrics(x["text"]).alias("m")))
     out = F.transform(out, lambda x: F.struct(x["i"].alias("i"), x["m"].alias("m"), quality.verdict(x["m"], x["i"]["fonts"], t).alias("v")))
     return F.transform(out, lambda x: F.struct(x["i"].alias("i"), x["m"].alias("m"), quality.route(x["m"]["chars"], x["i"]["cover"], x["i"]["paths"], x["v"], options.force_ocr, t).alias("r"), pages.render_dpi(x["i"]["width_pt"], x["i"]["height_pt"], options.dpi, options.max_pixels).alias("d")))
 
