@@ -2,7 +2,8 @@
 
 Both models are chains of order 2 over character classes of their own (each printable ASCII character is a symbol),
 trained by counting on labelled samples: `random` ones are drawn here from the alphabets that keys are made of, by a
-fixed seed; `ordinary` ones are identifiers from a bounded sample of the documents, without what the patterns find.
+fixed seed; `ordinary` ones are identifiers from a bounded sample of the documents, without what the patterns find, and
+names as programs have them, put together from those.
 """
 
 from __future__ import annotations
@@ -74,6 +75,17 @@ def training_strings(n: int = 4000, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(ALPHABETS[i % len(ALPHABETS)], k=rng.randrange(16, 48))) for i in range(n)]
 
 
+def identifier_forms(words: list[str], n: int = 8000, seed: int = 11) -> list[str]:
+    """Names as programs have them, put together from plain words: snake, kebab and camel case, constants, with and without a number."""
+    rng, plain = random.Random(seed), [w.lower() for w in words if w.isalpha() and w.isascii() and len(w) <= 12]
+    out = []
+    for i in range(n if plain else 0):
+        parts = rng.choices(plain, k=rng.randrange(2, 5))
+        form = ("_".join(parts), "-".join(parts), parts[0] + "".join(p.capitalize() for p in parts[1:]), "".join(p.capitalize() for p in parts), "_".join(parts).upper(), "/".join(parts))[i % 6]
+        out.append(form + (f"{rng.choice(('', '_', '-'))}{rng.randrange(100)}" if rng.random() < 0.4 else ""))
+    return out
+
+
 class Chains:
     """Log-likelihood ratio of random against ordinary, by two chains of order 2."""
 
@@ -130,7 +142,9 @@ def scan(docs: DataFrame, chains: Chains | None = None) -> DataFrame:
     A null text counts as empty and has no spans; repeated rows come out repeated. Spans of kind `random` are those
     that the chains add, where no pattern has found anything; spans of the patterns have no score.
     """
-    chains = chains or Chains(training_strings(), ordinary_sample(docs))
+    if chains is None:
+        words = ordinary_sample(docs)
+        chains = Chains(training_strings(), words + identifier_forms(words))
     shared = docs.sparkSession.sparkContext.broadcast(chains.ratio)  # 8 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,14 +38,14 @@ def test_odd_matches():
 
 
 def chains():
-    words = ["documentation", "createSession", "getUserById", "snake_case_name", "http_server_2", "2024-01-01", "organisation", "version_12", "utf8_string_length", "MAX_BUFFER_SIZE", "section-3-heading", "anotherVeryLongIdentifierName"]
-    return secrets.Chains(secrets.training_strings(), words * 20)
+    words = ["create", "session", "user", "server", "documentation", "createSession", "getUserById", "snake_case_name", "http_server_2", "2024-01-01", "organisation", "version_12", "utf8_string_length", "MAX_BUFFER_SIZE", "section-3-heading", "anotherVeryLongIdentifierName"]
+    return secrets.Chains(secrets.training_strings(), words * 20 + secrets.identifier_forms(words))
 
 
 def test_the_ratio_tells_keys_from_names():
     c, rng = chains(), random.Random(99)
     keys = ["".join(rng.choices(a, k=32)) for a in secrets.ALPHABETS for _ in range(50)]
-    names = ["createSessionDocumentation", "snake_case_server_name2", "get_version_by_user_id_12", "section-3-documentation"]
+    names = ["userSessionServer2", "SESSION_DOCUMENTATION_7", "server/user/create_12", "createSessionDocumentation", "snake_case_server_name2", "get_version_by_user_id_12", "section-3-documentation"]
     assert sum(c.score(k) >= secrets.LEAST for k in keys) / len(keys) > 0.95 and all(c.score(n) < secrets.LEAST for n in names)
 
 
