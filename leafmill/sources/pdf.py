@@ -1,6 +1,6 @@
 """PDF through a backend: pages with text blocks, image boxes, drawing paths and fonts; rendering for OCR.
 
-A backend is any object with the methods of Backend. MuPdf is the one that is used where PyMuPDF is installed.
+A backend is any object with the methods of Backend; default() picks one.
 """
 
 from __future__ import annotations
@@ -68,18 +68,14 @@ class MuPdf:
             yield Opened(doc)
 
 
-class NoPdf:
-    """What stands in where no backend is installed: every PDF is an error."""
-
-    def open(self, content: bytes):
-        raise ReadError("UnsupportedFormat", "PDF files need a reader: install PyMuPDF or pass a backend")
-
-
 def default() -> Backend:
+    """PyMuPDF where it is installed, else the reader in sources.pdfbytes, which draws no pages."""
     try:
         import pymupdf  # noqa: F401
     except ImportError:
-        return NoPdf()
+        from leafmill.sources.pdfbytes import PlainPdf
+
+        return PlainPdf()
     return MuPdf()
 
 
