@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.charclass import WS
+from leafmill.functions.fence import fence
 from leafmill.operators.extract import Backend
 from leafmill.operators.units import FIELDS
 from leafmill.schema import BLOCK, ReadError, as_error
@@ -146,4 +147,4 @@ def recognise(documents: DataFrame, factory: Callable[[], Engine] = NoEngine, ba
     out = documents.withColumn("__found", stage(F.when(needs_file, F.col("content")), F.when(F.size(asked) > 0, requests)))
     units = F.transform("units", lambda u, k: _merged(u, F.get(F.col("__found"), k)))
     total = lambda name: F.aggregate("__found", F.lit(0.0), lambda s, r: s + F.coalesce(F.bround(r[name], 2), F.lit(0.0)))
-    return out.withColumn("units", units).withColumn("ocr_seconds", F.coalesce(F.bround(total("seconds"), 2), F.lit(0.0))).withColumn("load_seconds", F.coalesce(F.bround(total("load_seconds"), 2), F.lit(0.0))).drop("__found")
+    return out.withColumn("units", fence(units)).withColumn("ocr_seconds", F.coalesce(F.bround(total("seconds"), 2), F.lit(0.0))).withColumn("load_seconds", F.coalesce(F.bround(total("load_seconds"), 2), F.lit(0.0))).drop("__found")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import pages, quality
+from leafmill.functions.fence import fence
 from leafmill.schema import BLOCK, TEXT_LAYER, Options
 
 REQUEST = "struct<blob:binary,frame:int,page:int,dpi:int>"
@@ -84,7 +85,7 @@ def with_units(df: DataFrame, options: Options = Options()) -> DataFrame:
         )
 
     numbered = F.transform(F.transform(_judged(mine, options), of), lambda u, k: u.withField("index", k.cast("int")))
-    return df.withColumn("notes", notes).withColumn("units", numbered)
+    return df.withColumn("notes", notes).withColumn("units", fence(numbered))
 
 
 def exploded(documents: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def documents_of(jobs: DataFrame, options: Options = Options(), engine: Callable
     """
     read = extract.extract(detected(jobs), options, backend, files)
     told = ocr.recognise(units.with_units(read, options), engine, backend)
-    told = told.withColumn("__out", D.outcome(F.col("units"))).withColumn("__error", F.coalesce("error_type", "read.error_type"))
+    told = told.withColumn("__out", fence(D.outcome(F.col("units")))).withColumn("__error", F.coalesce("error_type", "read.error_type"))
     fine = F.col("__error").isNull()
     none = F.array().cast("array<string>")
     noted = F.coalesce(extract.page_note(F.col("format"), options), F.lit(None).cast("string"))
