@@ -53,6 +53,8 @@ def _of_category(*categories: str) -> Ranges:
 BAD_RANGES = [*without([(0x00, 0x1F), (0x7F, 0x9F)], SPACE_RANGES), *PRIVATE_RANGES, (REPLACEMENT, 0xFFFF)]
 
 WS = inside(SPACE_RANGES)
+#: The same by Java's name for most of it, which is faster than ten ranges. RE2 has no such name.
+SPACE = r"\p{IsWhite_Space}\x{1C}-\x{1F}"
 LATIN = inside([(0x21, 0x7E)])
 INDIC = inside([*INDIC_RANGES, *JOINER_RANGES])
 ARABIC = inside(ARABIC_RANGES)

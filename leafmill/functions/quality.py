@@ -27,13 +27,13 @@ def _only(text: Column, inside: str) -> Column:
 
 def squeezed(text: Column) -> Column:
     """The text without white space."""
-    return F.regexp_replace(text, f"[{cc.WS}]+", "")
+    return F.regexp_replace(text, f"[{cc.SPACE}]+", "")
 
 
 def pieces(text: Column) -> Column:
     """A struct of the text (null as empty), its characters that aren't blank, and what is neither Latin nor blank."""
     t = F.coalesce(text, F.lit(""))
-    return F.struct(t.alias("text"), F.length(squeezed(t)).alias("chars"), F.regexp_replace(t, f"[{cc.WS}{cc.LATIN}]+", "").alias("rest"))
+    return F.struct(t.alias("text"), F.length(squeezed(t)).alias("chars"), F.regexp_replace(t, f"[{cc.LATIN}{cc.SPACE}]+", "").alias("rest"))
 
 
 def sorted_out(p: Column) -> Column:
@@ -46,8 +46,10 @@ def counts(p: Column) -> Column:
     """A struct of counts from sorted_out(). Words and marks of Indic scripts are sought only where there are any."""
     rest, good = p["rest"], p["good"]
     # Words with all but Indic and foreign characters gone, a run of Indic ones as i, one of foreign ones as f.
-    only = F.regexp_replace(p["text"], f"[{cc.BAD}{cc.UNASSIGNED}{cc.LATIN}{cc.ARABIC}{cc.COMMON}]+", "")
-    short = F.regexp_replace(F.regexp_replace(only, f"[{cc.INDIC}]+", "i"), f"[^i{cc.WS}]+", "f")
+    only = F.regexp_replace(F.regexp_replace(p["text"], f"[{cc.LATIN}]+", ""), f"[{cc.BAD}{cc.UNASSIGNED}{cc.ARABIC}{cc.COMMON}]+", "")
+    short = F.regexp_replace(F.regexp_replace(only, f"[{cc.INDIC}]+", "i"), f"[^i{cc.SPACE}]+", "f")
+    # Marks only matter beside other Indic characters.
+    marks = F.regexp_replace(F.regexp_replace(p["text"], r"[\x{01}-\x{7E}]+", " "), f"[^{cc.INDIC}]+", " ")
     if_indic = lambda x: F.when(p["indic"] > 0, x).otherwise(F.lit(0))
     return F.struct(
         p["chars"].alias("chars"),
@@ -58,10 +60,10 @@ def counts(p: Column) -> Column:
         _only(rest, cc.PRIVATE).alias("private"),
         (F.length(rest) - F.length(F.replace(rest, F.lit(chr(cc.REPLACEMENT)), F.lit("")))).alias("replaced"),
         F.length(F.regexp_replace(good, f"[{cc.INDIC}{cc.ARABIC}{cc.COMMON}]+", "")).alias("foreign"),
-        if_indic(F.regexp_count(F.regexp_replace(p["text"], f"[^{cc.INDIC}]+", " "), F.lit(f"(?<![{cc.BASE}])[{cc.MARK}]"))).alias("orphans"),
+        if_indic(F.regexp_count(marks, F.lit(f"(?<![{cc.BASE}])[{cc.MARK}]"))).alias("orphans"),
         if_indic(F.regexp_count(short, F.lit("f?i[if]*"))).alias("indic_words"),
         if_indic(F.regexp_count(short, F.lit("if[if]*|fi[if]*"))).alias("mixed"),
-        F.length(squeezed(F.regexp_replace(p["text"], f"[^{cc.WS}]+", "x"))).alias("words"),
+        F.length(squeezed(F.regexp_replace(p["text"], f"[^{cc.SPACE}]+", "x"))).alias("words"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.functions.charclass import WS
+from leafmill.functions.charclass import SPACE
 
 
 def _compose(s: pd.Series) -> pd.Series:
@@ -26,7 +26,7 @@ def nfc(text: Column) -> Column:
 
 def squash(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def normalize(text: Column) -> Column:
@@ -36,7 +36,7 @@ def normalize(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The words between white space; of an empty text none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{WS}]+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
 def lf(text: Column) -> Column:

@@ -14,7 +14,7 @@ from leafmill.operators.evaluate import throughput as speeds
 from leafmill.operators.folders import numbered, with_folders
 from leafmill.operators.ocr import block_text
 from leafmill.operators.units import unit
-from leafmill.plans.registry import query, table
+from leafmill.plans.registry import query, table, texts
 from leafmill.sources.results import unit_json
 
 #: Files of up to four documents each; a unit fails if its text's length is a multiple of 3.
@@ -157,4 +157,4 @@ def unit_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[{WS}]+', ' ', 'g')) AS text FROM documents")
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text composed, and with white space collapsed."""
-    return table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import links, pages, sniffing
-from leafmill.plans.registry import query, table
+from leafmill.plans.registry import query, table, texts
 
 #: What files begin with, as hexadecimal digits, by page_id modulo their number.
 HEADS = ["255044462D312E37", "0A0A255044462D", "89504E470D0A1A0A", "FFD8FFE0", "49492A00", "4D4D002A", "424D" + "00" * 12 + "28000000" + "00" * 8, "424D" + "00" * 12 + "29000000" + "00" * 8, "52494646" + "00000000" + "57454250", "504B0304", "D0CF11E0A1B11AE1", "474946383961", ""]
@@ -73,7 +73,7 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.encode(t, "UTF-8")
     latin = F.concat(F.encode(F.regexp_replace(t, r"[^\x01-\x7F]", "?"), "UTF-8"), F.unhex(F.lit("E9")))
     content = F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), plain)).when(k == 2, F.encode(t, "UTF-16")).when(k == 3, F.encode(F.replace(t, F.lit("\n"), F.lit("\r\n")), "UTF-8")).when(k == 4, latin).otherwise(F.when(F.col("doc_id") % 25 == 20, F.concat(F.unhex(F.lit("00")), plain)).otherwise(plain))
-    told = table(spark, sf_dir, "documents").select("doc_id", sniffing.decode_text(content).alias("d"))
+    told = texts(spark, sf_dir).select("doc_id", sniffing.decode_text(content).alias("d"))
     return told.select("doc_id", "d.text", F.size("d.warnings").alias("n_warnings"), "d.error_type")
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import sheets
 from leafmill.operators.judge import source_pdf as chosen
-from leafmill.plans.registry import query, table
+from leafmill.plans.registry import query, table, texts
 
 #: Texts as grids: lines are rows, and what stands between commas are cells.
 GRID_SQL = "WITH g AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: string_split(l, ', ')) AS rows FROM documents), w AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width FROM g)"
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.split(line, ", ")).alias("rows"))
+    return texts(spark, sf_dir).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.split(line, ", ")).alias("rows"))
 
 
 _LINE = "'| ' || array_to_string(list_transform(list_concat({r}, list_transform(range(width - len({r})), lambda z: '')), lambda c: replace(replace(c, '|', '\\|'), chr(10), '<br>')), ' | ') || ' |'"

@@ -9,7 +9,7 @@ from leafmill.functions import metrics as M
 from leafmill.functions.charclass import WS
 from leafmill.functions.text import normalize
 from leafmill.operators.evaluate import evaluate as evaluate_documents
-from leafmill.plans.registry import query, table
+from leafmill.plans.registry import query, table, texts
 
 
 def misread(text: Column, key: Column) -> Column:
@@ -67,9 +67,9 @@ SELECT doc_id, "precision", recall, CASE WHEN "precision" + recall > 0 THEN 2 *
 """)
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("hyp"))
-    both = docs.join(after, "doc_id").select("doc_id", normalize(F.col("text")).alias("a"), normalize(F.col("hyp")).alias("b"))
+    docs = texts(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("a"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    both = docs.hint("merge").join(after, "doc_id")
     return both.select("doc_id", M.f1_of(M.overlap_of(F.col("a"), F.col("b")), M.word_count(F.col("a")), M.word_count(F.col("b"))).alias("f")).select("doc_id", "f.*")
 
 

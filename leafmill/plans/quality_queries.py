@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import charclass as cc
 from leafmill.functions import quality as Q
-from leafmill.plans.registry import query, table
+from leafmill.plans.registry import query, texts
 
 #: Added to the text of a document, by doc_id % 8, as often as a tenth of its length says (once at least).
 INJECTED = {1: "\ue000", 2: "\ufffd", 3: " \u0939\u093f\u0902\u0926\u0940 \u092e\u0947\u0902", 4: " \u094d\u0915", 5: " \u0939\u093f\u00e9\u0902\u0926\u0940", 6: " \u0633\u0644\u0627\u0645", 7: "\x01"}
@@ -85,25 +85,25 @@ REASON_SQL = "CASE WHEN problems = '' THEN 'text layer passed validity check' EL
 
 @query(metrics_sql("coalesce(text, '')") + f" SELECT doc_id, {', '.join(METRICS)} FROM m")
 def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.with_metrics(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "metrics.*")
+    return Q.with_metrics(texts(spark, sf_dir).select("doc_id", "text")).select("doc_id", "metrics.*")
 
 
 @query(metrics_sql(INJECTED_SQL) + f" SELECT doc_id, {', '.join(METRICS)} FROM m")
 def quality_profile_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", injected(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    docs = texts(spark, sf_dir).select("doc_id", injected(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
     return Q.with_metrics(docs).select("doc_id", "metrics.*")
 
 
 @query(metrics_sql(INJECTED_SQL, keep="doc_id, lang, source") + verdict_sql(FONTS_SQL) + f" SELECT doc_id, problems = '' AS usable, {REASON_SQL} AS reason, CASE WHEN arabic_chars / greatest(chars, 1) > 0.3e0 THEN 1 ELSE 0 END AS n_warnings FROM v")
 def text_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fonts(table(spark, sf_dir, "documents")).select("doc_id", "fonts", injected(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    docs = fonts(texts(spark, sf_dir)).select("doc_id", "fonts", injected(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
     told = Q.with_metrics(docs).withColumn("v", Q.verdict(F.col("metrics"), F.col("fonts")))
     return told.select("doc_id", "v.usable", "v.reason", F.size("v.warnings").alias("n_warnings"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({FONTS_SQL}, lambda q: regexp_matches(lower(q), '{'|'.join(Q.LEGACY_FONTS)}')))), ',') AS fonts FROM documents")
 def legacy_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fonts(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(Q.legacy_fonts(F.col("fonts")), ",").alias("fonts"))
+    return fonts(texts(spark, sf_dir)).select("doc_id", F.array_join(Q.legacy_fonts(F.col("fonts")), ",").alias("fonts"))
 
 
 #: Texts of pages: some empty, some short, some not long, the others whole documents.
@@ -133,7 +133,7 @@ routed AS (SELECT doc_id, rule IN (2, 3, 5, 7, 8) AS ocr, CASE rule WHEN 2 THEN
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     docs = docs.select("doc_id", page_text(docs).alias("text"))
     cover, paths = (F.col("doc_id") % 101) / 100.0, F.col("doc_id") % 97
     told = Q.with_route(docs, F.col("text"), cover, paths)

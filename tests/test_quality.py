@@ -59,6 +59,11 @@ def test_profile_is_that_of_plain_python(spark):
                 assert r[k] == v, (k, r["text"][:80])
 
 
+def test_java_knows_white_space_as_python_does(value):
+    every = "".join(chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000)
+    assert value(F.regexp_replace(F.col("t"), f"[^{cc.SPACE}]+", ""), "t string", every) == "".join(c for c in every if c.isspace())
+
+
 def verdict(spark, text, fonts=()):
     df = spark.createDataFrame([(text, list(fonts))], "text string, fonts array<string>")
     return Q.with_metrics(df).select(Q.verdict(F.col("metrics"), F.col("fonts")).alias("v")).first()["v"]
