@@ -8,20 +8,22 @@ the chain is checked before the full distance.
 Equal fingerprints are one node. A bucket of a key is not expanded into pairs: its nodes are compared in blocks of
 bounded size, inside a task, and only a spanning forest of the links comes out. Components are then found by
 alternating star contraction over tables, without bringing links to the driver.
+
+keep_one() has another measure, the Jaccard similarity of sets of shingles. Bands of minimal hashes bring candidates
+together; each group of candidates is then compared by the sets themselves, and only true links make components.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Roots, cut, parts, spare
+from leafmill.llm.common import Roots, cut, mixed, parts, spare
 
 SEGMENTS = 16
 #: Fingerprints of a bucket that meet in one cell, and buckets larger than that which are broadcast.
@@ -53,20 +55,15 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), same: Column | None = None) -> DataFrame:
-    """doc_id, same (a long that goes along) and fp, an array of one 64-bit fingerprint (as signed long) for each seed; a text without words has zeros."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp, an array of one 64-bit fingerprint (as signed long); a text without words has zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            out = []
-            for text in b.column("text").to_pylist():
-                h = shingle_hashes(text, words)
-                # One hash of each shingle; further seeds mix it anew.
-                out.append([_signed(majority(h if s == 42 else _again(h, s))) for s in seeds])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "same", "fp"])
+            out = [[_signed(majority(shingle_hashes(text, words)))] for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "fp"])
 
-    along = F.lit(0).cast("long") if same is None else same
-    return docs.select("doc_id", "text", along.alias("same")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same long, fp array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp array<long>")
 
 
 def _signed(x: int) -> int:
@@ -123,11 +120,10 @@ def _groups(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[tuple[int
         yield from parted(held, True)
 
 
-def _cell_links(batches: Iterator[pa.RecordBatch], limit: int, lanes: int, shift: int, budget: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each cell's links. The key's chain is followed first, within its budget, then come all lanes."""
-    for key, node, fp in _groups(batches, lanes):
-        lane, start = divmod((key % (1 << 64)) >> shift, SEGMENTS)
-        own = fp[:, lane].copy()
+def _cell_links(batches: Iterator[pa.RecordBatch], shift: int, budget: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each cell's links. The full distance is checked first, then the key's chain within its budget."""
+    for key, node, fp in _groups(batches, 1):
+        start, own = (key % (1 << 64)) >> shift, fp[:, 0].copy()
         roots, links = Roots(len(node)), []
         for i in range(len(node) - 1):
             x = own[i + 1 :] ^ own[i]
@@ -135,8 +131,6 @@ def _cell_links(batches: Iterator[pa.RecordBatch], limit: int, lanes: int, shift
             if not len(near):
                 continue
             near = near[chained(x[near], start, budget)]
-            if lanes > 1:
-                near = near[np.bitwise_count(fp[near + i + 1] ^ fp[i]).sum(1) <= limit]
             for j in (near + i + 1).tolist():
                 if roots.find(i) != roots.find(j):
                     roots.join(i, j)
@@ -145,37 +139,38 @@ def _cell_links(batches: Iterator[pa.RecordBatch], limit: int, lanes: int, shift
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
 
-def links(nodes: DataFrame, limit: int, lanes: int = 1, chain: int | None = None) -> DataFrame:
-    """a, b: links between nodes (node long, fp array<long>) that join what differs in at most `limit` bits in all.
+def links(nodes: DataFrame, limit: int) -> DataFrame:
+    """a, b: links between nodes (node long, fp array<long>) that join what differs in at most `limit` bits.
 
-    With one lane this is exact: there is a key for each start on the ring, the chain's stretch without budget. With
-    more, the limit is too wide for that; keys are stretches of `chain` equal segments, side by side in every lane,
-    the chain goes on around its lane within LANE bits, and a link is found with a probability that falls with its
-    distance (see the README).
+    This is exact: there is a key for each start on the ring, the chain's stretch without budget.
     """
-    exact = lanes == 1 and chain is None
-    budget = ring_budget(SEGMENTS, limit if exact else LANE)
-    length = int((budget == 0).sum()) if exact else chain
+    budget = ring_budget(SEGMENTS, limit)
+    length = int((budget == 0).sum())
     width = 64 // SEGMENTS
     shift = width * length
     if not length:
         raise ValueError(f"{SEGMENTS} segments are too few for a limit of {limit} bits")
 
-    def key(lane: int, start: int) -> Column:
-        x, at = F.col("fp")[lane], width * start
+    def key(start: int) -> Column:
+        x, at = F.col("fp")[0], width * start
         turned = x if at == 0 else F.shiftrightunsigned(x, at).bitwiseOR(F.shiftleft(x, 64 - at))
-        return turned.bitwiseAND(F.lit((1 << shift) - 1)).bitwiseOR(F.lit(_signed((lane * SEGMENTS + start) << shift)).cast("long"))
+        return turned.bitwiseAND(F.lit((1 << shift) - 1)).bitwiseOR(F.lit(_signed(start << shift)).cast("long"))
 
-    keys = F.array(*(key(i, s) for i in range(lanes) for s in range(0, SEGMENTS, 1 if exact else chain)))
+    keys = F.array(*(key(s) for s in range(SEGMENTS)))
     # A bucket of more than CELL nodes is dealt into blocks; each pair of blocks is a cell. Such buckets are few: known, they go to all tasks if they are.
     large = cut(nodes.select(F.explode(keys).alias("key")).groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")))
     keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
-    told = keyed.join(F.broadcast(large) if large.count() <= FEW else large, "key", "left")
+    cells = _dealt(keyed, large, "key")
+    found = cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda x: _cell_links(x, shift, budget), "a long, b long")
+    return found.distinct()
+
+
+def _dealt(rows: DataFrame, large: DataFrame, by: str) -> DataFrame:
+    """The rows with their cells: one of each bucket `by`, but of those in `large` one for each pair of its `blocks`."""
+    told = rows.join(F.broadcast(large) if large.count() <= FEW else large, by, "left")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.shiftleft(F.least(j, block).cast("long"), 32).bitwiseOR(F.greatest(j, block).cast("long")))
-    cells = told.select("node", "fp", "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("cell"))
-    found = cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda x: _cell_links(x, limit, lanes, shift, budget), "a long, b long")
-    return found.distinct()
+    return told.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
 
 
 def components(found: DataFrame, rounds: int = 60) -> DataFrame:
@@ -203,18 +198,17 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def classes(prints: DataFrame, limit: int, lanes: int = 1, chain: int | None = None, tie: str | None = None) -> DataFrame:
+def classes(prints: DataFrame, limit: int) -> DataFrame:
     """fp, first: for each distinct fingerprint the smallest doc_id of its component. prints: doc_id, fp.
 
-    Null ids are never the smallest unless there is no other. tie: a column whose smallest value at `first` is
-    first_tie.
+    Null ids are never the smallest unless there is no other.
     """
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (F.col(tie) if tie else F.lit(0)).alias("tie")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     nodes = cut(prints.groupBy("fp").agg(least.alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    tree = components(links(nodes.select("node", "fp"), limit, lanes, chain))
+    tree = components(links(nodes.select("node", "fp"), limit))
     rooted = nodes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    return rooted.select("fp", "root").join(best, "root").select("fp", F.col("best.doc_id").alias("first"), F.col("best.tie").alias("first_tie"))
+    return rooted.select("fp", "root").join(best, "root").select("fp", F.col("best.doc_id").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2) -> DataFrame:
@@ -228,24 +222,123 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2) -> DataFram
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-#: For keep_one: five-word shingles, eight lanes. At a Jaccard similarity of 0.8 vectors of shingles stand at an angle of 27 degrees: 78 of 512
-#: bits differ on average, give or take 8; NEAR takes nine of ten such pairs. CHAIN segments are 16 bits, so that there are 32 keys.
-WORDS, SEEDS, NEAR, CHAIN = 5, tuple(range(42, 50)), 88, 4
-#: Bits of one lane that a chain may differ in: where 7 do on average at that similarity.
-LANE = 16
+#: For keep_one: words of a shingle, and the similarity of a link as a fraction.
+WORDS, SIMILARITY = 5, (4, 5)
+#: Keys of a set, each of so many minimal hashes: at a similarity of 0.8 two sets of any size have one in common with probability 0.999.
+BANDS, ROWS = 24, 6
+#: In cells of more than SOME sets, pairs go through SimHash first: of 512 bits those at a similarity of 0.8 differ in 78 on average (in 96 with
+#: 4 and 5 shingles, the worst case), give or take 9. NEAR lies four of these beyond the worst.
+SEEDS, NEAR, SOME = tuple(range(42, 50)), 132, 32
+#: Shingles of a group of candidates that meet in one block.
+BLOCK = 1 << 20
+
+_TIMES = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of five-word shingles, as sorted hashes."""
+    return np.unique(shingle_hashes(text, WORDS))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingles; those of the empty set are zeros."""
+    if not len(h):
+        return np.zeros(BANDS, np.int64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(h), 1 << 10):
+        np.minimum(least, (h[i : i + (1 << 10), None] * _TIMES[0]).min(0), out=least)
+    return mixed((mixed(least) * _TIMES[1]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is SIMILARITY or more, exactly."""
+    over, under = SIMILARITY
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * under >= over * (len(a) + len(b) - both)
+
+
+def _sketches(docs: DataFrame, same: Column) -> DataFrame:
+    """doc_id, same (a long), digest of the set of shingles, its size n and its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            keys = pa.ListArray.from_arrays(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32), np.concatenate([bands(h) for h in sets]))
+            digest = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), digest, pa.array([len(h) for h in sets], pa.int64()), keys], ["doc_id", "same", "digest", "n", "keys"])
+
+    return docs.select("doc_id", "text", same.alias("same")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same long, digest binary, n long, keys array<long>")
+
+
+def _slice_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: a, b, the first node of a key and another one; then key, a, the first nodes alone."""
+    for batch in batches:
+        if batch.num_rows:
+            key = batch.column("keys").flatten().to_numpy()
+            node = np.repeat(batch.column("node").to_numpy(), BANDS)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            head = node[first][np.cumsum(first) - 1]
+            for columns in ((None, head[~first], node[~first]), (key[first], node[first], None)):
+                n = len(columns[1])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b: links between nodes (node, keys) that share a key; all nodes of a key are joined, by links as many as nodes."""
+    found = cut(nodes.select("node", "keys").mapInArrow(_slice_links, "key long, a long, b long"))
+    across = found.where("b is null").select(F.min("a").over(Window.partitionBy("key")).alias("a"), F.col("a").alias("b"))
+    return found.where("b is not null").select("a", "b").union(across.where("a <> b")).distinct()
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets that are similar, as many as it takes to join what all such links join."""
+    over, under = SIMILARITY
+    size, label, out = np.array([len(h) for h in sets]), np.arange(len(sets)), []
+    fp = np.array([[majority(_again(h, s)) for s in SEEDS] for h in sets], np.uint64) if len(sets) > SOME else None
+    for i in range(len(sets) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        rest = rest[np.minimum(size[rest], size[i]) * under >= over * np.maximum(size[rest], size[i])]
+        if fp is not None:
+            rest = rest[np.bitwise_count(fp[rest] ^ fp[i]).sum(1) <= NEAR]
+        while len(rest):
+            j, rest = int(rest[0]), rest[1:]
+            if similar(sets[i], sets[j]):
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+                rest = rest[label[rest] != label[i]]
+    return out
+
+
+def _true_links(cell: pa.Table) -> pa.Table:
+    node, at = np.unique(cell.column("node").to_numpy(), return_index=True)
+    found = forest([shingles(t) for t in cell.column("text").take(pa.array(at)).to_pylist()])
+    return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group of near copies (by five-word shingles, similarity 0.8): that of the smallest id.
+    """The documents, one of each group of near copies (linked by five-word shingles, Jaccard similarity 0.8 or more): that of the smallest id.
 
     Rows come out with all their columns. Of equal rows one stays; rows with equal ids and different texts are different
     documents. Documents without a word are copies of each other. A document without an id stays only if its group has
     no id at all, and then one of them.
     """
     text = lambda df: F.xxhash64(F.lit("copy"), df["text"])
-    prints = cut(fingerprints(docs, WORDS, SEEDS, text(docs)).distinct())
-    found = prints.join(classes(prints, NEAR, len(SEEDS), CHAIN, tie="same"), "fp")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("same") == F.col("first_tie"))).select("doc_id", "same").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("same").alias("tie")))
+    sets = _sketches(docs, text(docs)).groupBy("digest").agg(least.alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()).drop("digest"))
+    # All sets that candidate links join meet in the cells of their group, whichever of them the links name.
+    tree = cut(components(candidates(nodes)))
+    tree = tree.union(tree.select(F.col("root").alias("node"), "root").distinct()).distinct()
+    groups = cut(nodes.select("node", "n", "least").join(tree, "node"))
+    large = cut(groups.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    own = docs.select("doc_id", "text", text(docs).alias("tie"))
+    members = groups.select("node", "root", F.col("least.doc_id").alias("id"), F.col("least.tie").alias("tie"))
+    texts = own.join(members, (own["tie"] == members["tie"]) & own["doc_id"].eqNullSafe(members["id"])).select("node", "root", "text")
+    linked = _dealt(texts, large, "root").groupBy("root", "cell").applyInArrow(_true_links, "a long, b long")
+    rooted = nodes.select("node", "least").join(components(linked), "node", "left")
+    kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("best")).select("best.doc_id", F.col("best.tie").alias("same"))
     whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (text(docs) == kept["same"]), "left_semi")
     same = spare(docs, "same")
     return whole.withColumn(same, text(whole)).dropDuplicates(["doc_id", same]).drop(same)

@@ -151,3 +151,54 @@ def test_hard_cases(spark):
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:20]) for r in kept) == sorted([(0, HARD[5][1][:20]), (1, HARD[0][1][:20]), (2, ""), (4, HARD[4][1][:20]), (5, HARD[6][1][:20]), (7, HARD[8][1][:20]), (7, HARD[9][1][:20])])
     assert kept[0].__fields__ == hard(spark).columns and all(r["same"].startswith("same") for r in kept) and len(CLASH) > 10
     assert simhash.near_duplicates(empty(spark)).count() == simhash.keep_one(empty(spark)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def around(rng, n):
+    """A text of n words, the last copy with random words replaced that is at 0.8 or above, and the first below."""
+    a = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    last = b = a
+    while jaccard(" ".join(a), " ".join(b)) >= 0.8:
+        last, b = b, list(b)
+        b[rng.randrange(n)] = f"w{rng.getrandbits(40)}"
+    return " ".join(a), " ".join(last), f"z{rng.getrandbits(40)}", " ".join(b)
+
+
+@pytest.mark.parametrize("some, block", [(32, 1 << 20), (0, 200)])
+def test_only_true_links_and_nearly_all(spark, monkeypatch, some, block):
+    """Against a brute force: at exactly 0.8 one of two stays, just below it both do, for short texts and longer ones."""
+    monkeypatch.setattr(simhash, "SOME", some)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, texts = random.Random(4), []
+    for shared, extra in [(4, 1), (8, 2), (40, 10), (80, 20), (200, 50)] * 12:  # one contained in the other: exactly 0.8
+        w = [f"w{rng.getrandbits(40)}" for _ in range(shared + extra + 4)]
+        texts += [" ".join(w), " ".join(w[: shared + 4])]
+    exactly = len(texts) // 2
+    for n in [10, 12, 20, 40, 100, 300] * 8:
+        texts += around(rng, n)
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(spark, *texts)).collect()}
+    want = slow_kept(texts)
+    assert all(jaccard(texts[2 * i], texts[2 * i + 1]) == 0.8 for i in range(exactly)) and len(want) > 100
+    assert sum(2 * i + 1 not in kept for i in range(exactly)) / exactly >= 0.97
+    assert want <= kept and len(kept - want) <= 0.02 * len(want)
+
+
+def slow_kept(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for t in texts)]
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    return {find(i) for i in range(len(sets))}
