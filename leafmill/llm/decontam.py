@@ -1,13 +1,9 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows, exact edit verification.
+"""Benchmark decontamination: pieces of items as seeds, exact edit verification.
 
-Texts are sequences of words. The CGK embedding of a window walks over it: in step j it puts out the word at the
-pointer and moves on if a random bit of (j, word) says so. Two windows whose words differ by few edits put out the
-same in most steps, so edit distance becomes Hamming distance; a key of a few sampled steps then agrees with a good
-chance, and repetitions with new walks reach the target recall.
-
-Windows have the size of the benchmark's shortest item (8 to 16 words). On documents they begin at every STRIDE-th
-word; on items at every word, so that each alignment meets. Candidates are verified by the exact edit distance of
-the whole item against the text around the window.
+Texts are sequences of words. If an item is held by a text within k word edits and is cut into k + 1 pieces, one of the
+pieces at least stands in the text as it is. Every piece of every item is a key, and so is every run of words of a
+document that is as long as some piece; thus no match within the limit is missed, whatever the item's length.
+Candidates are verified by the exact edit distance of the whole item against the text around the piece.
 """
 
 from __future__ import annotations
@@ -23,7 +19,6 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import mixed, parts, utf8
 
 SIMILARITY = 0.8
-STRIDE, REPEATS, SAMPLED = 4, 4, 5
 #: Items that are looked for in one pass over the documents; more take more passes.
 BLOCK = 20_000
 
@@ -64,28 +59,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _table[0][:n], _table[1][:n]
 
 
-def walks(size: int, seed: int = 11) -> list[tuple[np.ndarray, list[int], int]]:
-    """For each repetition: odd multipliers of the steps, the sampled steps, a multiplier of the key. Walks are up to three times the window."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(REPEATS):
-        sampled = sorted(rng.choice(2 * size, SAMPLED, replace=False).tolist())
-        out.append((rng.integers(1, 1 << 62, 3 * size, dtype=np.uint64) | np.uint64(1), sampled, int(rng.integers(1 << 40, 1 << 62)) | 1))
-    return out
+def pieces(n: int, limit: int) -> list[tuple[int, int]]:
+    """First and end word of each piece of an item of n words: one more than it may have edits, as even as can be."""
+    count = min(n, limit + 1)
+    return [(n * k // count, n * (k + 1) // count) for k in range(count)]
 
 
-def keys(word: np.ndarray, start: np.ndarray, size: int, walk: tuple[np.ndarray, list[int], int]) -> np.ndarray:
-    """The sampled embedding of the windows of `size` words (those that go beyond the words are padded)."""
-    steps, sampled, times = walk
-    padded = np.concatenate([word, np.zeros(size, np.uint64)])
-    at, end = start.copy(), start + size
-    key = np.zeros(len(start), np.uint64)
-    for j in range(sampled[-1] + 1):
-        c = padded[np.minimum(at, end - 1)]
-        over = at >= end
-        if j in sampled:
-            key = key * np.uint64(times) + np.where(over, np.uint64(0), c)
-        at += ((c * steps[j]) >> np.uint64(63)).astype(np.int64)
+def keys(word: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words from each start."""
+    key = np.full(len(start), size, np.uint64)
+    for j in range(size):
+        key = key * np.uint64(_B) + word[start + j]
     return mixed(key)
 
 
@@ -125,32 +109,26 @@ def _own(salt: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Keys of all windows of some items."""
+    """Keys of all pieces of some items."""
 
     def __init__(self, items: list[tuple], similarity: float = SIMILARITY):
         self.ids, self.similarity = [i for i, _ in items], similarity
         self.words = [words(np.frombuffer((t or "").encode(), np.uint8))[0] for _, t in items]
-        sizes = [len(w) for w in self.words if len(w)]
-        self.size = min(16, max(8, min(sizes, default=8) - STRIDE + 1))
-        self.walks = walks(self.size)
-        self.stride = STRIDE if min(sizes, default=0) >= self.size + STRIDE - 1 else 1
-        key, item, offset = [], [], []
-        for r, walk in enumerate(self.walks):
-            for i, w in enumerate(self.words):
-                if len(w):
-                    at = np.arange(max(1, len(w) - self.size + 1))
-                    # An item shorter than a window is sought by the words it has: its window is padded like one at a document's end.
-                    key.append(keys(w, at, min(self.size, len(w)), (walk[0], walk[1], walk[2])) ^ np.uint64(r))
-                    item.append(np.full(len(at), i))
-                    offset.append(at)
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < self.size})
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.limits = ((1 - similarity) * self.sizes + 1e-9).astype(np.int64)
+        key, item, offset, lengths = [], [], [], set()
+        for i, w in enumerate(self.words):
+            for first, end in pieces(len(w), int(self.limits[i])) if len(w) else ():
+                key.append(keys(w, np.array([first]), end - first))
+                item.append(np.array([i]))
+                offset.append(np.array([first]))
+                lengths.add(end - first)
+        self.lengths = sorted(lengths)
         key, item, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, item, offset))
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.offset = key[order].astype(np.uint64), item[order], offset[order]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.longest = int(self.sizes.max(initial=0))
         self.counts = [Counter(w.tolist()) for w in self.words]
-        self.limits = ((1 - similarity) * self.sizes + 1e-9).astype(np.int64)
         self.salts = mixed(np.arange(1, len(items) + 1, dtype=np.uint64))
         self.own = np.zeros(1 << 23, bool)  # the words of each item; a false hit only costs a verification
         for i, w in enumerate(self.words):
@@ -161,18 +139,17 @@ class Index:
     def candidates(self, word: np.ndarray, at: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, item and supposed first word of what shares a key, each once."""
         pairs = []
-        inside = np.arange(len(word)) - at[doc_of]
-        for size in [self.size, *self.short]:
-            start = np.flatnonzero(inside % (self.stride if size == self.size else 1) == 0)
-            for r, walk in enumerate(self.walks):
-                k = keys(word, start, size, walk) ^ np.uint64(r)
-                hit = np.flatnonzero(self.seen[(k >> np.uint64(42)).astype(np.int64)])
-                left, right = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
-                n = right - left
-                x = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                p = np.repeat(start[hit], n)
-                begin = p - self.offset[x] + self.longest  # items may begin before the batch's first word
-                pairs.append((doc_of[p] << 16 | self.item[x]) << 32 | begin)  # BLOCK items, and words of a batch, have room
+        left_in = at[doc_of + 1] - np.arange(len(word))
+        for size in self.lengths:
+            start = np.flatnonzero(left_in >= size)
+            k = keys(word, start, size)
+            hit = np.flatnonzero(self.seen[(k >> np.uint64(42)).astype(np.int64)])
+            left, right = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
+            n = right - left
+            x = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            p = np.repeat(start[hit], n)
+            begin = p - self.offset[x] + self.longest  # items may begin before the batch's first word
+            pairs.append((doc_of[p] << 16 | self.item[x]) << 32 | begin)  # BLOCK items, and words of a batch, have room
         found = np.concatenate(pairs)
         found.sort()
         found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found

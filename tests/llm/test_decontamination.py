@@ -113,3 +113,18 @@ def test_hard_cases(spark):
     kept = decontam.clean(hard(spark), bench)
     assert kept.columns == hard(spark).columns and kept.count() == len(HARD) - 4
     assert decontam.leaks(empty(spark), bench).count() == decontam.clean(empty(spark), bench).count() == 0
+
+
+@pytest.mark.parametrize("length, shortest", [(5, 5), (8, 5), (8, 8), (10, 10), (14, 5), (15, 15), (16, 15), (19, 15), (20, 20), (39, 5), (59, 15)])
+def test_nothing_within_the_limit_is_missed(length, shortest):
+    """Items of each length with as many edits as are allowed, also beside a shorter item: all are found, with the distance of a brute force."""
+    rng = random.Random(length * 100 + shortest)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(length)] for _ in range(60)]
+    texts = [[*rng.choices(vocabulary, k=rng.randrange(30)), *edited(rng, x, 0.2, vocabulary), *rng.choices(vocabulary, k=rng.randrange(30))] for x in items]
+    index = decontam.Index(list(enumerate(" ".join(x) for x in [*items, rng.choices(vocabulary, k=shortest)])))
+    found = [decontam.words(np.frombuffer(" ".join(t).encode(), np.uint8))[0] for t in texts]
+    got = {(d, i): k for d, i, k, *_ in index.matches(np.concatenate(found), np.cumsum([0, *map(len, found)]))}
+    limit = int(0.2 * length + 1e-9)
+    want = {(i, i): k for i, x in enumerate(items) if (k := slow_distance(x, texts[i])) <= limit}
+    assert len(want) == 60 and want == {x: k for x, k in got.items() if x[0] == x[1]}
