@@ -29,8 +29,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
-#: What may be a secret by its looks: long enough, with letters and digits, not within a longer word.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: What may be a secret by its looks: long enough, with a letter, not within a longer word.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{4,64}")
 HINTS = ("passw", "secret", "token", "api")
 ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "-_")

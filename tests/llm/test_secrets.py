@@ -69,3 +69,16 @@ def test_hard_cases(spark):
     assert len(got) == len(HARD) and [r["spans"] for r in got if r["doc_id"] == 2] == [""]
     assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
     assert secrets.report(secrets.scan(empty(spark))).count() == 0
+
+
+def test_scan_finds_keys_of_any_length_and_without_digits(spark):
+    """Part of the random keys that scan() finds whole, by length; one of letters only is a key too."""
+    rng, rows = random.Random(12), []
+    for n in (16, 20, 32, 64, 512, 513, 1600, 5000):
+        rows += [(n, "".join(rng.choices(secrets.ALPHABETS[1], k=n))) for _ in range(60)]
+    rows += [(-n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))) for n in (20, 32, 64) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"see {k} there") for i, (_, k) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in secrets.scan(df, chains()).collect()}
+    found = {n: [got[i] == [("random", 4, 4 + abs(n))] for i, (m, _) in enumerate(rows) if m == n] for n in {m for m, _ in rows}}
+    share = {n: sum(x) / len(x) for n, x in found.items()}
+    assert all(x >= (0.9 if abs(n) <= 20 else 0.95) for n, x in share.items()), share
