@@ -8,8 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of one key from which it counts as hot.
+HOT = 200_000
 #: Bytes of text that a Python worker turns into numpy arrays at a time; a longer single text goes alone.
 CHUNK = 1 << 20
 
@@ -47,6 +50,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def beside(rows: DataFrame, told: DataFrame, key: str, spread: Column | str) -> DataFrame:
+    """The rows with what `told` has for their key, or nulls. told: the key, once each; n, the rows that it has at least; other columns.
+
+    Hot keys, of which there is at most one for HOT rows, are broadcast, and their rows are dealt over all tasks by
+    `spread`; only the others meet by key. Without hot keys this is a plain join.
+    """
+    told = cut(told)
+    names = [c for c in told.columns if c not in (key, "n")]
+    if told.where(F.col("n") > HOT).isEmpty():
+        all_told = told.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in names))
+        return rows.join(all_told, rows[key] == F.col("__key"), "left").select(*(rows[c] for c in rows.columns), *(F.col(f"__{c}").alias(c) for c in names))
+    hot = F.broadcast(told.where(F.col("n") > HOT).select(F.col(key).alias("__hot_key"), F.struct(*names).alias("__hot")))
+    # Not a literal, which the optimizer would take out of the join's key.
+    warm = told.where(F.col("n") <= HOT).select(F.col(key).alias("__key"), (F.col("n") > HOT).cast("long").alias("__none"), F.struct(*names).alias("__warm"))
+    salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 16)) + 1).cast("long")
+    dealt = rows.join(hot, rows[key] == F.col("__hot_key"), "left").withColumn("__salt", salt)
+    both = dealt.join(warm, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__none")), "left")
+    found = F.coalesce("__hot", "__warm")
+    return both.select(*(F.col(c) for c in rows.columns), *(found[c].alias(c) for c in names))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column, joined, and the offsets of its rows (one more than rows); null is empty."""
     column = pc.fill_null(column, "")
@@ -59,12 +83,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Batches cut into slices of about `limit` bytes of text, one row at least."""
+def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK, row: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of about `limit` bytes of text, of which a row counts `row` at least; one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + row)
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
