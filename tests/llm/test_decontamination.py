@@ -99,7 +99,7 @@ def test_short_and_odd_items(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontam.blocks, "__defaults__", (2,))
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (2, decontam.LETTERS))
     items = [(i, f"item {i} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in (1, 2, 2, 3, 4, 5)]
     df = documents(spark, *(f"before {t} after" for _, t in items[2:]))
     got = sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect())
@@ -115,7 +115,7 @@ def test_hard_cases(spark):
     assert decontam.leaks(empty(spark), bench).count() == decontam.clean(empty(spark), bench).count() == 0
 
 
-@pytest.mark.parametrize("length, shortest", [(5, 5), (8, 5), (8, 8), (10, 10), (14, 5), (15, 15), (16, 15), (19, 15), (20, 20), (39, 5), (59, 15)])
+@pytest.mark.parametrize("length, shortest", [(5, 5), (8, 5), (8, 8), (10, 10), (14, 5), (15, 15), (16, 15), (19, 15), (20, 20), (39, 5), (59, 15), (64, 64), (65, 5), (100, 15), (200, 8)])
 def test_nothing_within_the_limit_is_missed(length, shortest):
     """Items of each length with as many edits as are allowed, also beside a shorter item: all are found, with the distance of a brute force."""
     rng = random.Random(length * 100 + shortest)
@@ -128,3 +128,26 @@ def test_nothing_within_the_limit_is_missed(length, shortest):
     limit = int(0.2 * length + 1e-9)
     want = {(i, i): k for i, x in enumerate(items) if (k := slow_distance(x, texts[i])) <= limit}
     assert len(want) == 60 and want == {x: k for x, k in got.items() if x[0] == x[1]}
+
+
+def test_walks_follow_the_target():
+    """The number of walks rises with the recall asked for, and with it planted windows are found."""
+    assert decontam.walks_needed(20, 0) <= 3 < decontam.walks_needed(20, 4, 0.9) < decontam.walks_needed(20, 4, 0.999) <= decontam.WALKS
+    rng, r = np.random.default_rng(3), random.Random(3)
+    for length in (5, 12, 30, 60, 90):
+        vocabulary = rng.integers(1, 1 << 62, 3000, dtype=np.uint64).tolist()
+        items = [r.choices(vocabulary, k=length) for _ in range(200)]
+        index = decontam.Index([(i, " ".join(map(str, x))) for i, x in enumerate(items)])
+        texts = [decontam.words(np.frombuffer(" ".join(map(str, edited(r, x, 0.2, vocabulary))).encode(), np.uint8))[0] for x in items]
+        got = {(d, i) for d, i, *_ in index.matches(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))}
+        assert sum((i, i) in got for i in range(200)) >= 198
+
+
+def test_blocks_are_bounded(spark):
+    """By rows and by characters; equal ids may be parted, alike rows are one with their number, and nothing is left out."""
+    rows = [(i // 3, f"text {i % 7} " + "x" * (i % 5) * 30) for i in range(60)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    for size, letters in ((1000, 1 << 20), (7, 1 << 20), (1000, 300), (4, 10)):
+        got = list(decontam.blocks(bench, size, letters))
+        assert all(len(x) <= size and (len(x) == 1 or sum(len(t) for _, t, _ in x) <= letters) for x in got)
+        assert sorted((i, t) for x in got for i, t, n in x for _ in range(n)) == sorted(rows)
