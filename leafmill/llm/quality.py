@@ -2,8 +2,12 @@
 
 Trusted positives are documents labelled good; what else the corpus holds is unlabelled. A linear model on hashed
 features minimises the non-negative unbiased risk: with class prior p, loss l, positives P and unlabelled U,
-p * E_P[l(+)] + max(0, E_U[l(-)] - p * E_P[l(-)]). The prior is estimated from the labels of the training rows. A last
-step, also on training rows only, moves scale and threshold of the scores so that 0.5 separates the labels.
+p * E_P[l(+)] + max(0, E_U[l(-)] - p * E_P[l(-)]). The prior is estimated from the labels of the training rows.
+
+E_U is over all documents: a first fit takes it from a sample; one pass over all of them then gives value and gradient
+of E_U at that fit, and a second fit minimises the sample's risk tilted so that both are those of the whole corpus
+there. A last step, on training rows only, moves scale and threshold of the scores so that 0.5 separates the labels;
+it takes the negative labels too, which the risk does without.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import mixed, parts, utf8
 
-#: Hashed features: 4-grams of character shapes, and words with their neighbours. Documents in the fit: about so many labelled and unlabelled.
+#: Hashed features: 4-grams of character shapes, and words with their neighbours. Documents in the sample: about so many labelled and unlabelled.
 BITS, LABELLED, UNLABELLED = 11, 3000, 4000
+#: Bytes that a row of features counts for.
+ROW = 1024
 EPOCHS, RATE, DECAY = 250, 0.02, 1e-4
 
 #: Shapes: lower and upper case letters, digits, bytes of other letters, each other ASCII character by itself.
@@ -78,25 +84,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40).astype(np.float64)))
 
 
-def pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk under the logistic loss, by Adam on all rows."""
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def moments(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over rows, at some weights: gradient of l(-) by weights and by bias, l(-), and rows."""
+    f = (x @ w + b).astype(np.float64)
+    s = sigmoid(f)
+    return np.concatenate([s.astype(np.float32) @ x, [s.sum(), np.logaddexp(0, f).sum(), len(x)]]).astype(np.float64)
+
+
+def pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 1, at: tuple[np.ndarray, float] | None = None, whole: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk under the logistic loss, by Adam on all rows.
+
+    With `whole`, moments() of all unlabelled documents over their number, at the weights and bias `at`, E_U is tilted to have those there.
+    """
     rng = np.random.default_rng(seed)
     mean = unlabelled.mean(0)
-    p, u = positive - mean, unlabelled - mean
+    p, u = positive, unlabelled  # rows less the mean, which is never taken off a copy of them
     w, b = rng.normal(0, 1e-3, p.shape[1]).astype(np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    tilt, lift, w0, b0 = np.zeros(len(w) + 1), 0.0, w, b
+    if at is not None and whole is not None:
+        w0, b0 = at[0].astype(np.float32), at[1] + float(mean @ at[0])
+        w, b = w0.copy(), b0
+        off = whole[:-1] - moments(unlabelled, *at)[:-1] / len(unlabelled)
+        tilt, lift = np.append(off[:-2] - mean * off[-2], off[-2]), off[-1]
     for t in range(1, EPOCHS + 1):
-        fp, fu = p @ w + b, u @ w + b
+        low = b - float(mean @ w)
+        fp, fu = p @ w + low, u @ w + low
         # l(+) = log(1 + exp(-f)), l(-) = log(1 + exp(f))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        negative = np.logaddexp(0, fu).mean() + lift + tilt[:-1] @ (w - w0) + tilt[-1] * (b - b0) - prior * np.logaddexp(0, fp).mean()
         gp, gu = -prior * sigmoid(-fp) / len(fp), np.zeros(len(fu))
         away = -prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
         if negative >= 0:
-            gp, gu = gp + away[0], away[1]
+            gp, gu, gt = gp + away[0], away[1], tilt
         else:  # the risk of negatives must not fall below zero: a step back
-            gp, gu = gp - away[0], -away[1]
-        g = np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + DECAY * w, gp.sum() + gu.sum())
+            gp, gu, gt = gp - away[0], -away[1], -tilt
+        total = gp.sum() + gu.sum()
+        g = np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u - total * mean + DECAY * w, total) + gt
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
@@ -120,7 +147,7 @@ def calibrated(f: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """The model from documents (doc_id, text) and labels (doc_id, quality 0 or 1), of which null ones are ignored.
 
-    About `labelled` and `unlabelled` documents take part, chosen by hash; only their features reach the driver.
+    About `labelled` and `unlabelled` documents are sampled by hash; of all others only sums over all rows reach the driver.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
@@ -136,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     chosen = docs.select("doc_id", "text").join(some, "doc_id", "left").select("text", parts_of.alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
+        for b in parts(batches, row=ROW):
             x = features(*utf8(b.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "x"])
 
@@ -145,13 +172,34 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
         return Model()
     kind = np.array([k for k, _ in found])
     x = np.frombuffer(b"".join(v for _, v in found), np.float16).reshape(len(kind), -1).astype(np.float32)
-    w, b = pu_fit(x[kind == 1], x[kind == -1] if (kind == -1).any() else x, good_share)
-    scale, shift = calibrated(x[kind >= 0] @ w + b, kind[kind >= 0] == 1)
+    del found
+    # Rows are in the order of their kind, so these are no copies.
+    none, good = int((kind == -1).sum()), int((kind == 1).sum())
+    some, positive = x[:none] if none else x, x[len(x) - good :]
+    first = pu_fit(positive, some, good_share)
+    w, b = pu_fit(positive, some, good_share, at=first, whole=whole_moments(docs, *first))
+    scale, shift = calibrated(x[none:] @ w + b, kind[none:] == 1)
     return Model((w * scale).astype(np.float32), b * scale + shift)
 
 
+def whole_moments(docs: DataFrame, w: np.ndarray, b: float) -> np.ndarray:
+    """moments() of all documents, over their number."""
+    shared = docs.sparkSession.sparkContext.broadcast((w, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((moments(features(*utf8(p.column("text"))), *shared.value) for p in parts(batches, row=ROW)), np.zeros(len(w) + 3))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["slot", "value"])
+
+    rows = docs.select("text").mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(len(w) + 3)
+    for slot, value in rows:
+        out[slot] = value
+    # Sums in any order differ in their last digits; the model should not.
+    return np.round(out / max(1.0, out[-1]), 9)
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for b in parts(batches):
+    for b in parts(batches, row=ROW):
         yield b, model.score(features(*utf8(b.column("text"))))
 
 
@@ -171,7 +219,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model does not reject, with all their columns."""
+    """The documents that the model does not reject, with all their columns.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together; a model without trusted
+    positives keeps all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
