@@ -2,15 +2,18 @@
 
 A fingerprint of 64 bits is a ring of segments. If two fingerprints differ in at most T bits, then on the ring of m
 segments some segment begins a chain whose first k segments, for every k up to m, differ in at most k * T / m bits.
-While that budget is below one the segments are equal, so the longest such stretch is a key to join by; the rest of
-the chain is checked before the full distance.
+While that budget is below one the segments are equal, so the longest such stretch is a key to join by. Candidates
+follow the chain on from there, a segment at a time; what leaves its budget goes, and only what is left has all its
+bits counted.
 
 Equal fingerprints are one node. A bucket of a key is not expanded into pairs: its nodes are compared in blocks of
 bounded size, inside a task, and only a spanning forest of the links comes out. Components are then found by
 alternating star contraction over tables, without bringing links to the driver.
 
-keep_one() has another measure, the Jaccard similarity of sets of shingles. Bands of minimal hashes bring candidates
-together; each group of candidates is then compared by the sets themselves, and only true links make components.
+keep_one() has another measure, the Jaccard similarity of sets of shingles. At 0.8 a bit of SimHash differs with a
+probability of 0.15: keys long enough to keep buckets small would be needed by the hundred. Bands of minimal hashes
+bring candidates together instead; they go through chains of longer fingerprints, then through the full distance, and
+what is left is compared by the sets themselves, so that only true links make components.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Roots, cut, mixed, parts, spare
+from leafmill.llm import common
+from leafmill.llm.common import Roots, beside, cut, mixed, parts, spare
 
 SEGMENTS = 16
 #: Fingerprints of a bucket that meet in one cell, and buckets larger than that which are broadcast.
@@ -82,16 +86,24 @@ def ring_budget(segments: int, limit: int) -> np.ndarray:
     return np.array([k * limit // segments for k in range(1, segments + 1)])
 
 
-def chained(x: np.ndarray, start: int, budget: np.ndarray) -> np.ndarray:
-    """Whether differences (xors) hold the budget along the whole chain from segment `start`."""
+def chained(x: np.ndarray, start: int, budget: np.ndarray, known: int = 0, left: list[int] | None = None) -> np.ndarray:
+    """Positions of the differences (xors) that hold the budget along the chain from segment `start`.
+
+    The chain grows by a segment at a time over what is left, up to the last but one: with that the distance is whole.
+    The first `known` segments are equal. How many are left after each step is added to `left`.
+    """
     m = len(budget)
     width = 64 // m
-    ok, total = np.ones(x.shape, bool), np.zeros(x.shape, np.uint8)
-    for k in range(m):
-        segment = (x >> np.uint64(width * ((start + k) % m))) & np.uint64((1 << width) - 1)
-        total += np.bitwise_count(segment)
-        ok &= total <= budget[k]
-    return ok
+    alive, total = np.arange(len(x)), np.zeros(len(x), np.uint8)
+    for k in range(known, m - 1):
+        total = total + np.bitwise_count((x >> np.uint64(width * ((start + k) % m))) & np.uint64((1 << width) - 1))
+        ok = total <= budget[k]
+        alive, total, x = alive[ok], total[ok], x[ok]
+        if left is not None:
+            left.append(len(alive))
+        if not len(alive):
+            break
+    return alive
 
 
 def _groups(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -121,16 +133,15 @@ def _groups(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[tuple[int
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch], shift: int, budget: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each cell's links. The full distance is checked first, then the key's chain within its budget."""
+    """A spanning forest of each cell's links: the key's chain first, the full distance of what it leaves."""
+    known = int((budget == 0).sum())
     for key, node, fp in _groups(batches, 1):
         start, own = (key % (1 << 64)) >> shift, fp[:, 0].copy()
         roots, links = Roots(len(node)), []
         for i in range(len(node) - 1):
             x = own[i + 1 :] ^ own[i]
-            near = np.flatnonzero(np.bitwise_count(x) <= budget[-1])
-            if not len(near):
-                continue
-            near = near[chained(x[near], start, budget)]
+            near = chained(x, start, budget, known)
+            near = near[np.bitwise_count(x[near]) <= budget[-1]]
             for j in (near + i + 1).tolist():
                 if roots.find(i) != roots.find(j):
                     roots.join(i, j)
@@ -157,17 +168,18 @@ def links(nodes: DataFrame, limit: int) -> DataFrame:
         return turned.bitwiseAND(F.lit((1 << shift) - 1)).bitwiseOR(F.lit(_signed(start << shift)).cast("long"))
 
     keys = F.array(*(key(s) for s in range(SEGMENTS)))
-    # A bucket of more than CELL nodes is dealt into blocks; each pair of blocks is a cell. Such buckets are few: known, they go to all tasks if they are.
-    large = cut(nodes.select(F.explode(keys).alias("key")).groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")))
+    # A bucket of more than CELL nodes is dealt into blocks; each pair of blocks is a cell.
+    large = cut(nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL).withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")))
     keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
-    cells = _dealt(keyed, large, "key")
+    # Such buckets are few: known, they go to all tasks if they are.
+    told = keyed.join(F.broadcast(large.drop("n")), "key", "left") if large.count() <= FEW else beside(keyed, large, "key", "node")
+    cells = _dealt(told)
     found = cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda x: _cell_links(x, shift, budget), "a long, b long")
     return found.distinct()
 
 
-def _dealt(rows: DataFrame, large: DataFrame, by: str) -> DataFrame:
-    """The rows with their cells: one of each bucket `by`, but of those in `large` one for each pair of its `blocks`."""
-    told = rows.join(F.broadcast(large) if large.count() <= FEW else large, by, "left")
+def _dealt(told: DataFrame) -> DataFrame:
+    """The rows with their cells: one of each bucket, but of those with a number of blocks one for each pair of them."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.shiftleft(F.least(j, block).cast("long"), 32).bitwiseOR(F.greatest(j, block).cast("long")))
     return told.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
@@ -177,38 +189,40 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: the smallest node reachable by links a, b; nodes without links are left out.
 
     Alternating large and small star: every node hooks its larger neighbours, then its smaller ones, on the smallest
-    node it knows. Rounds are cut by checkpoints; it ends when a round changes nothing.
+    node it knows. Rounds are cut by checkpoints; it ends when a round changes nothing. Links of hubs are dealt over
+    all tasks; there is none while there are no more links than a hub has.
     """
+    around = lambda links: links.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
     edges = cut(found.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    mark = None
+    mark, count = None, edges.count()
+    hooked = lambda links, told: beside(links, told, "v", "u") if 2 * count > common.HOT else links.join(told.drop("n"), "v")
     for _ in range(rounds):
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(least, "v")
+        least = around(both).withColumn("m", F.least("v", "m"))
+        large = hooked(both.where("u > v"), least).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        joined = hooked(large, around(large))
         small = joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(joined.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
-        mark = tuple(now)
+        mark, count = tuple(now), now[0]
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
 def classes(prints: DataFrame, limit: int) -> DataFrame:
-    """fp, first: for each distinct fingerprint the smallest doc_id of its component. prints: doc_id, fp.
+    """fp, n (its rows), first: for each distinct fingerprint the smallest doc_id of its component. prints: doc_id, fp.
 
     Null ids are never the smallest unless there is no other.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    nodes = cut(prints.groupBy("fp").agg(least.alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(prints.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     tree = components(links(nodes.select("node", "fp"), limit))
     rooted = nodes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    return rooted.select("fp", "root").join(best, "root").select("fp", F.col("best.doc_id").alias("first"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("n"))
+    return beside(rooted.select("fp", F.col("n").alias("rows"), "root"), best, "root", "fp").select("fp", F.col("rows").alias("n"), F.col("best.doc_id").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2) -> DataFrame:
@@ -218,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2) -> DataFram
     with equal ids and different texts are different nodes. Only doc_id and text are read.
     """
     prints = cut(fingerprints(docs, words))
-    found = prints.join(classes(prints, limit), "fp")
+    found = beside(prints, classes(prints, limit), "fp", "doc_id")
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
@@ -227,8 +241,8 @@ WORDS, SIMILARITY = 5, (4, 5)
 #: Keys of a set, each of so many minimal hashes: at a similarity of 0.8 two sets of any size have one in common with probability 0.999.
 BANDS, ROWS = 24, 6
 #: In cells of more than SOME sets, pairs go through SimHash first: of 512 bits those at a similarity of 0.8 differ in 78 on average (in 96 with
-#: 4 and 5 shingles, the worst case), give or take 9. NEAR lies four of these beyond the worst.
-SEEDS, NEAR, SOME = tuple(range(42, 50)), 132, 32
+#: 4 and 5 shingles, the worst case), give or take 9. NEAR lies four of these beyond the worst. Segments of a chain before the full distance.
+SEEDS, NEAR, SOME, CHAIN = tuple(range(42, 50)), 132, 2, 4
 #: Shingles of a group of candidates that meet in one block.
 BLOCK = 1 << 20
 
@@ -292,16 +306,33 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found.where("b is not null").select("a", "b").union(across.where("a <> b")).distinct()
 
 
+def prints_near(own: np.ndarray, others: np.ndarray, limit: int = NEAR) -> np.ndarray:
+    """Which of some fingerprints differ from one in at most `limit` bits. Rows of equal segments, as unsigned numbers.
+
+    A chain of CHAIN segments from some start has to keep its budgets before all bits are added up.
+    """
+    apart = np.bitwise_count(others ^ own)
+    m = apart.shape[1]
+    ring, budget = np.concatenate([apart, apart[:, : CHAIN - 1]], 1), ring_budget(m, limit)
+    total, ok = np.zeros(apart.shape, np.uint16), np.ones(apart.shape, bool)
+    for k in range(CHAIN):
+        total += ring[:, k : k + m]
+        ok &= total <= budget[k]
+    near = ok.any(1)
+    near[near] = apart[near].sum(1, dtype=np.int64) <= limit
+    return near
+
+
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between sets that are similar, as many as it takes to join what all such links join."""
     over, under = SIMILARITY
     size, label, out = np.array([len(h) for h in sets]), np.arange(len(sets)), []
-    fp = np.array([[majority(_again(h, s)) for s in SEEDS] for h in sets], np.uint64) if len(sets) > SOME else None
+    fp = np.array([[majority(_again(h, s)) for s in SEEDS] for h in sets], np.uint64).view(np.uint32) if len(sets) > SOME else None
     for i in range(len(sets) - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         rest = rest[np.minimum(size[rest], size[i]) * under >= over * np.maximum(size[rest], size[i])]
         if fp is not None:
-            rest = rest[np.bitwise_count(fp[rest] ^ fp[i]).sum(1) <= NEAR]
+            rest = rest[prints_near(fp[i], fp[rest])]
         while len(rest):
             j, rest = int(rest[0]), rest[1:]
             if similar(sets[i], sets[j]):
@@ -317,6 +348,27 @@ def _true_links(cell: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
 
+def buckets(groups: DataFrame) -> DataFrame:
+    """node, id, tie, bucket, blocks: in which buckets the sets of candidate groups (node, root, n, keys, least) meet.
+
+    A group of up to BLOCK shingles is one bucket, in which each pair is in reach. Of a larger one, which may hang
+    together by a few links only, each key is a bucket, dealt into blocks if that is too large itself.
+    """
+    size = groups.groupBy("root").agg(F.sum("n").alias("all"), F.count("*").alias("n")).where(F.col("all") > BLOCK)
+    told = beside(groups.select("node", "n", "keys", "least", "root"), size, "root", "node")
+    which = F.when(F.col("all").isNull(), F.array("root")).otherwise(F.array_distinct("keys"))
+    sets = cut(told.select("node", F.col("n").alias("size"), F.col("least.doc_id").alias("id"), F.col("least.tie").alias("tie"), F.explode(which).alias("bucket")))
+    met = sets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
+    known = beside(sets, met, "bucket", "node").where("all is not null")
+    return known.select("node", "id", "tie", "bucket", F.when(F.col("all") > BLOCK, F.ceil(F.col("all") / BLOCK).cast("int")).alias("blocks"))
+
+
+def own_texts(docs: DataFrame, same: Column, members: DataFrame) -> DataFrame:
+    """node, bucket, cell, text of members (node, bucket, cell, id, tie)."""
+    own = docs.select("doc_id", "text", same.alias("same"))
+    return own.join(members, (own["same"] == members["tie"]) & own["doc_id"].eqNullSafe(members["id"])).select("node", "bucket", "cell", "text")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, one of each group of near copies (linked by five-word shingles, Jaccard similarity 0.8 or more): that of the smallest id.
 
@@ -328,15 +380,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("same").alias("tie")))
     sets = _sketches(docs, text(docs)).groupBy("digest").agg(least.alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()).drop("digest"))
-    # All sets that candidate links join meet in the cells of their group, whichever of them the links name.
     tree = cut(components(candidates(nodes)))
     tree = tree.union(tree.select(F.col("root").alias("node"), "root").distinct()).distinct()
-    groups = cut(nodes.select("node", "n", "least").join(tree, "node"))
-    large = cut(groups.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    own = docs.select("doc_id", "text", text(docs).alias("tie"))
-    members = groups.select("node", "root", F.col("least.doc_id").alias("id"), F.col("least.tie").alias("tie"))
-    texts = own.join(members, (own["tie"] == members["tie"]) & own["doc_id"].eqNullSafe(members["id"])).select("node", "root", "text")
-    linked = _dealt(texts, large, "root").groupBy("root", "cell").applyInArrow(_true_links, "a long, b long")
+    groups = cut(nodes.join(tree, "node"))
+    texts = own_texts(docs, text(docs), _dealt(buckets(groups)))
+    linked = texts.groupBy("bucket", "cell").applyInArrow(_true_links, "a long, b long")
     rooted = nodes.select("node", "least").join(components(linked), "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("best")).select("best.doc_id", F.col("best.tie").alias("same"))
     whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (text(docs) == kept["same"]), "left_semi")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from leafmill.llm import simhash
+from leafmill.llm import common, simhash
 from leafmill.llm.queries import op10_simhash
 from tests.conftest import SMALL
 from tests.llm.cases import CLASH, HARD, documents, empty, hard
@@ -65,6 +65,8 @@ def test_links_are_whole(spark, monkeypatch, cell, limit):
     rows = [(i, f) for i, f in enumerate(prints)]
     rng.shuffle(rows)
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(common, "HOT", 8 if cell < 10 else 200_000)
+    monkeypatch.setattr(simhash, "FEW", 0 if cell < 10 else 100_000)
     df = spark.createDataFrame([(i, [simhash._signed(f)]) for i, f in rows], "doc_id long, fp array<long>")
     first = {r["fp"][0]: r["first"] for r in simhash.classes(df, limit).collect()}
     assert {(i, first[simhash._signed(f)]) for i, f in rows} == {(i, c) for i, _, c in slow_components(rows, limit)}
@@ -91,7 +93,7 @@ def test_a_link_always_has_a_chain():
         budget = simhash.ring_budget(simhash.SEGMENTS, limit)
         for _ in range(300):
             x = sum(1 << b for b in rng.sample(range(64), rng.randrange(limit + 1)))
-            assert any(simhash.chained(np.array([x], np.uint64), s, budget)[0] for s in range(simhash.SEGMENTS))
+            assert any(simhash.chained(np.array([x], np.uint64), s, budget).size for s in range(simhash.SEGMENTS))
 
 
 def test_components_of_long_paths(spark):
@@ -117,21 +119,53 @@ def near_copies(seed=5):
     return texts, group
 
 
+def test_chains_prune_before_the_full_distance():
+    """Candidates left after each step fall, none within the limit is lost, and few of the others reach the full count."""
+    rng = np.random.default_rng(6)
+    budget = simhash.ring_budget(simhash.SEGMENTS, 2)
+    known = int((budget == 0).sum())
+    far = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) << np.uint64(4 * known)  # equal in the key's stretch only
+    near = np.array([sum(1 << int(b) for b in rng.choice(np.arange(4 * known, 64), 2, replace=False)) for _ in range(500)], np.uint64)
+    x, left = np.concatenate([far, near]), []
+    alive = simhash.chained(x, 0, budget, known, left)
+    assert len(left) == simhash.SEGMENTS - 1 - known and left == sorted(left, reverse=True) and left[0] < 0.4 * len(x) and left[3] < 0.05 * len(x)
+    assert len(alive) == left[-1] < 0.05 * len(x)
+    # What the key's own chain loses within the limit is found by the chain from another start.
+    lost = np.setdiff1d(np.flatnonzero(np.bitwise_count(x) <= 2), alive)
+    assert all(any(simhash.chained(x[[i]], s, budget).size for s in range(simhash.SEGMENTS)) for i in lost.tolist())
+
+
+def test_prints_near_is_the_full_distance():
+    rng = np.random.default_rng(2)
+    own = rng.integers(0, 1 << 32, 16, dtype=np.uint32)
+    others = np.repeat(own[None], 600, 0)
+    for row, k in zip(others, rng.integers(60, 220, 600)):
+        for bit in rng.choice(512, k, replace=False).tolist():
+            row[bit // 32] ^= np.uint32(1 << bit % 32)
+    near = simhash.prints_near(own, others)
+    assert near.tolist() == (np.bitwise_count(others ^ own).sum(1) <= simhash.NEAR).tolist() and 0 < near.sum() < 600
+
+
 def test_recall_at_the_threshold():
-    """Pairs of a similarity of 0.8 and more: part of them that the keys bring together and the limit lets pass."""
-    rng, found, total = np.random.default_rng(8), {0.8: 0, 0.9: 0}, 300
-    for j in found:
-        for _ in range(total):
-            n = 400
-            shared = rng.integers(0, 1 << 63, round(n * 2 * j / (1 + j)), dtype=np.uint64)
-            prints = []
-            for _ in range(2):
-                h = np.concatenate([shared, rng.integers(0, 1 << 63, n - len(shared), dtype=np.uint64) * np.uint64(2)])
-                prints.append([simhash.majority(simhash._again(h, s)) for s in simhash.SEEDS])
-            x = [a ^ b for a, b in zip(*prints)]
-            key = any(not (a >> s & 0xFFFF) for a in x for s in range(0, 64, 16))
-            found[j] += key and sum(a.bit_count() for a in x) <= simhash.NEAR
-    assert found[0.8] / total > 0.75 and found[0.9] / total > 0.99
+    """Pairs of a similarity of just 0.8: all but a few share a key and pass chains and limit."""
+    rng, found, total = np.random.default_rng(8), 0, 300
+    for _ in range(total):
+        n = int(rng.integers(20, 400))
+        shared = rng.integers(0, 1 << 63, round(n * 1.6 / 1.8), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, n - len(shared), dtype=np.uint64)])) for _ in range(2)]
+        prints = np.array([[simhash.majority(simhash._again(h, s)) for s in simhash.SEEDS] for h in sets], np.uint64).view(np.uint32)
+        found += (simhash.bands(sets[0]) == simhash.bands(sets[1])).any() and simhash.prints_near(prints[0], prints[1:]).all()
+    assert found / total >= 0.97
+
+
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_beside(spark, monkeypatch, hot):
+    """Hot keys or not, each row gets what is told for its key."""
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 20 + [2, 3, 3, None])], "k long, i long")
+    told = spark.createDataFrame([(1, 20, "a"), (3, 2, "c"), (9, 50, "z")], "k long, n long, what string")
+    got = sorted((r["i"], r["what"]) for r in common.beside(rows, told, "k", "i").collect())
+    assert got == [(i, "a") for i in range(20)] + [(20, None), (21, "c"), (22, "c"), (23, None)]
 
 
 def test_keep_one(spark):
