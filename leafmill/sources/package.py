@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 from leafmill.schema import ReadError
@@ -27,17 +28,32 @@ class Package:
     def read(self, name: str) -> bytes | None:
         return self.zip.read(name) if name in self.names else None
 
+    def events(self, name: str) -> Iterator[tuple[str, ElementTree.Element]]:
+        """Starts and ends of a part's elements, in order; what has ended is forgotten by its parent once that ends too."""
+        try:
+            for what, e in ElementTree.iterparse(io.BytesIO(self.plain(name)), ("start", "end")):
+                yield what, e
+                if what == "end":
+                    for child in e:
+                        child.clear()
+        except ElementTree.ParseError as e:
+            raise ReadError("CorruptFile", f"{self.what} part {name} is missing or invalid: {e}") from None
+
     def xml(self, name: str) -> ElementTree.Element:
-        """A part's root. Documents with a DTD are refused: they could define entities."""
+        """A part's root."""
+        try:
+            return ElementTree.fromstring(self.plain(name))
+        except ElementTree.ParseError as e:
+            raise ReadError("CorruptFile", f"{self.what} part {name} is missing or invalid: {e}") from None
+
+    def plain(self, name: str) -> bytes:
+        """A part's bytes. Documents with a DTD are refused: they could define entities."""
         data = self.read(name)
         if data is None:
             raise ReadError("CorruptFile", f"{self.what} part {name} is missing or invalid: it is not in the file")
         if b"<!DOCTYPE" in data:
             raise ReadError("CorruptFile", f"{self.what} part {name} is missing or invalid: it has a document type")
-        try:
-            return ElementTree.fromstring(data)
-        except ElementTree.ParseError as e:
-            raise ReadError("CorruptFile", f"{self.what} part {name} is missing or invalid: {e}") from None
+        return data
 
     def related(self, part: str) -> dict[str, tuple[str, str]]:
         """Of each relationship to another part: its id, that part's path, and the last word of the relationship's type."""
