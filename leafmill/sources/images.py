@@ -7,9 +7,11 @@ import struct
 
 from leafmill.schema import ReadError
 
+BAD_FRAME = "image frame could not be read: it has no size"
 
-def frames(content: bytes) -> list[tuple[int, int]]:
-    """Width and height of each frame of a PNG, JPEG, GIF, BMP, WEBP or TIFF."""
+
+def frames(content: bytes) -> list[tuple[int, int] | None]:
+    """Width and height of each frame of a PNG, JPEG, GIF, BMP, WEBP or TIFF; None for a damaged frame beside others."""
     try:
         for magic, size in ((b"\x89PNG\r\n\x1a\n", _png), (b"\xff\xd8\xff", _jpeg), (b"GIF8", _gif), (b"BM", _bmp), (b"RIFF", _webp)):
             if content.startswith(magic):
@@ -71,30 +73,41 @@ def _webp(c: bytes) -> tuple[int, int]:
     raise ValueError("a WEBP of an unknown kind")
 
 
-def _tiff(c: bytes) -> list[tuple[int, int]]:
+def _tiff(c: bytes) -> list[tuple[int, int] | None]:
     order = "<" if c[:2] == b"II" else ">"
     at, out, seen = struct.unpack(f"{order}I", c[4:8])[0], [], set()
     while at and at not in seen:
         seen.add(at)
-        n = struct.unpack(f"{order}H", c[at : at + 2])[0]
-        size = {}
-        for k in range(n):
-            tag, kind, _, raw = struct.unpack(f"{order}HHI4s", c[at + 2 + 12 * k : at + 14 + 12 * k])
-            if tag in (256, 257):
-                size[tag] = struct.unpack(f"{order}H", raw[:2])[0] if kind == 3 else struct.unpack(f"{order}I", raw)[0]
-        if 256 not in size or 257 not in size:
-            raise ValueError("a TIFF frame without a size")
-        out.append((size[256], size[257]))
-        at = struct.unpack(f"{order}I", c[at + 2 + 12 * n : at + 6 + 12 * n])[0]
-    if not out:
-        raise ValueError("a TIFF without a frame")
+        try:
+            size, at = _tiff_frame(c, at, order)
+        except struct.error:  # nor is there a way to a next one
+            size, at = None, 0
+        out.append(size)
+    if not any(out):
+        raise ValueError("a TIFF without a frame that can be read")
     return out
 
 
+def _tiff_frame(c: bytes, at: int, order: str) -> tuple[tuple[int, int] | None, int]:
+    """Size of the frame described at a place, None without one, and the place of the next description or 0."""
+    n = struct.unpack(f"{order}H", c[at : at + 2])[0]
+    size = {}
+    for k in range(n):
+        tag, kind, _, raw = struct.unpack(f"{order}HHI4s", c[at + 2 + 12 * k : at + 14 + 12 * k])
+        if tag in (256, 257):
+            size[tag] = struct.unpack(f"{order}H", raw[:2])[0] if kind == 3 else struct.unpack(f"{order}I", raw)[0]
+    following = struct.unpack(f"{order}I", c[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+    return ((size[256], size[257]) if 256 in size and 257 in size else None), following
+
+
+def _no_frame() -> tuple[int, int]:
+    raise ReadError("CorruptFile", BAD_FRAME)
+
+
 def embedded(blob: bytes, name: str, reason: str, **more) -> dict:
     """An item for an image within a document, or for its failure."""
     try:
-        w, h = frames(blob)[0]
+        w, h = frames(blob)[0] or _no_frame()
     except ReadError as e:
         return {"what": "error", "kind": "image", "reason": reason, "name": name, "error_type": e.kind, "message": e.message, **more}
     return {"what": "image", "kind": "image", "reason": reason, "name": name, "blob": blob, "embedded": True, "frame": 0, "width_px": w, "height_px": h, "label": "image", **more}
@@ -107,9 +120,11 @@ def read(content: bytes, pages: list[tuple[int, int | None]] | None = None, spec
     wanted = [k for k in range(1, len(sizes) + 1) if not (many and pages) or any(a <= k <= (b or k) for a, b in pages)]
     if not wanted:
         return [{"what": "note", "message": f"--pages {spec!r} selected no frame of this image"}]
+    reason = "image file (pixels only, no text layer)"
     return [
+        {"what": "error", "kind": "page", "reason": reason, "page": k, "error_type": "CorruptFile", "message": BAD_FRAME} if sizes[k - 1] is None else
         {
-            "what": "image", "kind": "page" if many else "image", "reason": "image file (pixels only, no text layer)", "page": k if many else None, "embedded": False, "frame": k - 1,
+            "what": "image", "kind": "page" if many else "image", "reason": reason, "page": k if many else None, "embedded": False, "frame": k - 1,
             "width_px": sizes[k - 1][0], "height_px": sizes[k - 1][1], "label": f"image frame {k}" if many else "image",
         }
         for k in wanted

@@ -94,3 +94,16 @@ def test_legacy_needs_an_office(monkeypatch):
     with pytest.raises(ReadError) as e:
         legacy.converted(b"x", "doc")
     assert e.value.kind == "UnsupportedFormat" and ".docx" in e.value.message
+
+
+def test_a_damaged_tiff_frame_is_one_error():
+    """The frames around it stay; a file without any good frame fails."""
+    whole = files.tiff((50, 60), (70, 80))
+    second = int.from_bytes(whole[4:8], "little")
+    at = second + 2 + 12 * int.from_bytes(whole[second : second + 2], "little")
+    cut = whole[:at] + (1 << 30).to_bytes(4, "little") + whole[at + 4 :]  # the next description lies beyond the end
+    found = images.read(cut)
+    assert [(x["what"], x["page"]) for x in found] == [("image", 1), ("error", 2)] and found[1]["error_type"] == "CorruptFile"
+    assert [(x["what"], x["page"]) for x in images.read(cut, [(2, 2)], "2")] == [("error", 2)]
+    with pytest.raises(ReadError):
+        images.read(whole[:second] + b"\xff\xff")
