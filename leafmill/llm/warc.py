@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from leafmill.llm.common import shared_dir
+from leafmill.llm.common import beside, shared_dir
 
 LEAST = 100
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
@@ -295,15 +295,19 @@ def archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
     Of pages with equal payloads of at least `least` bytes that with the smallest page_id is the response and the
     others revisit it; smaller ones are responses. Null html is an empty payload; a null url is left out; pages with a
-    null id are responses that none revisits. Of equal ids with equal payloads one is the response. The payloads do
-    not travel: ids and digests decide, and only they and the decision are joined to the pages.
+    null id are responses that none revisits. Of equal ids with equal payloads one is the response. Ids and digests
+    decide, without the payloads, which meet the decision by id: equal payloads are dealt over all tasks.
     """
     register(pages.sparkSession)
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body"), F.sha2(body, 256).alias("digest"), F.length(body).cast("long").alias("size"))
-    shared = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    told = rows.join(shared, rows["digest"] == shared["of"], "left")
-    again = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))
+    ids = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("page_id", "digest").agg(F.count("*").alias("rows"))
+    shared = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = beside(ids, shared, "digest", "page_id").where("first < page_id").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "first")
+    named = rows.where("page_id is not null")
+    told = named.join(later, (named["page_id"] == later["id"]) & (named["digest"] == later["of"]), "left").select(*rows.columns, "first")
+    told = told.union(rows.where("page_id is null").withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
+    again = F.col("first").isNotNull()
     urn = lambda x: F.concat(F.lit("<urn:x-page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
     extra = F.create_map(F.lit("X-Payload-Length"), F.col("size").cast("string"), F.lit("WARC-Profile"), F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
     out = told.select(
