@@ -12,8 +12,9 @@ corpus, but these, from the most significant:
 3. for what is left, the window itself.
 
 Digits are fingerprints: 96 bits of two independent polynomials modulo 2 ** 64. Each pass is a partition by the
-digit, a sort, and one look at the neighbours in sorted order; before it, each slice of documents settles what repeats
-within itself and sends on one row for each digit, so that no digit's rows pile up in one task.
+digit, a sort, and one look at the neighbours in sorted order. Before it, what repeats is settled in two levels: each
+slice of documents sends on one row for each digit, and each task no more than two for a digit that it comes by again
+and again; so a passage that all documents share sends two rows for each task.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from leafmill.llm.common import cut, mixed, parts, utf8
 DEPTH, GRAM, BLOCK = 400, 16, 128
 #: Different hulls of one core in one slice from which they go to the last digit at once.
 HOT = 8
+#: Digits that a task remembers; a slice has about 20,000.
+REMEMBERED = 1 << 19
 #: What a row is: one of those to be judged; one that only shows that its digit exists; a settled one; one for the last digit.
 JUDGE, SHOW, REPEATED, LAST = 0, 1, 2, 3
 
@@ -157,7 +160,48 @@ def _joined(first: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return f[begin], np.add.reduceat(n, begin) if len(begin) else n, order[begin]
 
 
+class Seen:
+    """Digits that a task has sent on: of those sent twice any further window is repeated, and need not be sent.
+
+    Of the latest REMEMBERED at most; a digit that is forgotten is only sent again. Digits are pairs of numbers.
+    """
+
+    def __init__(self):
+        self.once, self.twice = ((np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2))
+
+    @staticmethod
+    def _among(a: np.ndarray, b: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of two digits with one first number only one is held, so a look at one place is enough."""
+        if not len(held[0]):
+            return np.zeros(len(a), bool)
+        at = np.minimum(np.searchsorted(held[0], a), len(held[0]) - 1)
+        return (held[0][at] == a) & (held[1][at] == b)
+
+    @staticmethod
+    def _with(held: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(held[0]) + len(a) <= REMEMBERED:
+            a, b = np.concatenate([held[0], a]), np.concatenate([held[1], b])
+        key, at = np.unique(a[-REMEMBERED:], return_index=True)
+        return key, b[-REMEMBERED:][at]
+
+    def known(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._among(a, b, self.twice)
+
+    def sent(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Different digits that have just been sent."""
+        again = self._among(a, b, self.once)
+        if again.any():
+            self.twice = self._with(self.twice, a[again], b[again])
+        self.once = self._with(self.once, a[~again], b[~again])
+
+
+def _spread(c1: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Settled rows only pass through: any partition will do."""
+    return mixed(c1.view(np.uint64) ^ (first.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = Seen()
     for b in parts(batches):
         buf, at = utf8(b.column("text"))
         first, last, c1, c2, hull = runs(buf, at)
@@ -170,7 +214,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.ones(len(first), bool)
         lead[1:] = whole[1:] != whole[:-1]
         kinds = np.bincount(core[lead])  # different hulls of each core
-        twice = size[whole] > 1
+        one = mixed(hull.view(np.uint64) ^ c2.astype(np.uint64)).view(np.int64)
+        known = seen.known(c1 ^ one, one)
+        lead &= ~known
+        twice = known | (size[whole] > 1)
         hot = kinds[core] >= HOT
         kind = np.where(twice, np.where(lead, SHOW, REPEATED), JUDGE)
         begins = np.ones(len(first), bool)
@@ -183,11 +230,14 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         show = np.zeros(len(first), bool)
         show[head[head >= 0]] = True
         send = (kind == JUDGE) & ~alone | (kind == SHOW) | show
+        new = np.flatnonzero(send)
+        new = new[np.concatenate([[True], whole[new[1:]] != whole[new[:-1]]])] if len(new) else new
+        seen.sent((c1 ^ one)[new], one[new])
         yield from _pack(b, at, first[send], n[send], np.where(show | (kind == SHOW), SHOW, JUDGE)[send], c1[send], c2[send], hull[send])
         for what, rows in ((REPEATED, twice), (LAST, alone)):
             if rows.any():
                 f, m, i = _joined(first[rows], n[rows], at)
-                yield from _pack(b, at, f, m, np.full(len(f), what), c1[rows][i], np.full(len(f), -1, np.int32), hull[rows][i])
+                yield from _pack(b, at, f, m, np.full(len(f), what), _spread(c1[rows][i], f), np.full(len(f), -1, np.int32), hull[rows][i])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -240,6 +290,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last digit of all windows of the runs in `marks`."""
+    seen = Seen()
     for b in parts(batches):
         buf, at = utf8(b.column("text"))
         marks = b.column("marks")
@@ -259,13 +310,15 @@ def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, kind, c1, c2 = start[order], kind[order], c1[order], c2[order]
         group, size = _groups(c1, c2)
         lead = np.concatenate([[True], group[1:] != group[:-1]])
-        twice = size[group] > 1
+        known = seen.known(c1, c2.astype(np.int64))
+        twice = known | (size[group] > 1)
         one = np.ones(len(start), np.int64)
-        send = lead
+        send = lead & ~known
+        seen.sent(c1[send], c2[send].astype(np.int64))
         yield from _pack(b, at, start[send], one[send], np.where(twice, SHOW, kind)[send], c1[send], c2[send], np.zeros(int(send.sum()), np.int64))
         if (rows := twice & (kind == JUDGE)).any():
             f, m, i = _joined(start[rows], one[rows], at)
-            yield from _pack(b, at, f, m, np.full(len(f), REPEATED), c1[rows][i], np.full(len(f), -1, np.int32), np.zeros(len(f), np.int64))
+            yield from _pack(b, at, f, m, np.full(len(f), REPEATED), _spread(c1[rows][i], f), np.full(len(f), -1, np.int32), np.zeros(len(f), np.int64))
 
 
 def _last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +376,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (bytes: a span may begin within a character), spans removed (start, end in bytes)."""
+    """doc_id, kept (bytes: a span may begin within a character), spans removed (start, end in bytes).
+
+    Null and empty texts have nothing to keep and no span; of repeated rows each repeats the others, and each comes
+    out; extra columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in _kept(batches):

@@ -1,3 +1,4 @@
+from collections import Counter
 import hashlib
 import random
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 from leafmill.llm import substrings
+from leafmill.llm.common import parts
 from leafmill.llm.queries import op8_substring_dedup
 from tests.conftest import SMALL
 from tests.llm.cases import HARD, documents, empty, hard
@@ -91,3 +93,38 @@ def test_sliding_minimum():
     x = np.random.default_rng(1).integers(0, 1000, 400).astype(np.uint64)
     for width in (1, 2, 7, 64, 399, 400):
         assert substrings.sliding_min(x, width).tolist() == [int(x[i : i + width].min()) for i in range(400 - width + 1)]
+
+
+@pytest.mark.parametrize("limit, remembered", [(900, 1 << 19), (900, 40), (5000, 1 << 19)])
+def test_digits_that_come_again_and_again(monkeypatch, limit, remembered):
+    """Passes over many slices in one task, and over two tasks: the same windows as by brute force, though hot digits are sent twice only."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "parts", lambda batches: parts(batches, limit=limit))
+    monkeypatch.setattr(substrings, "REMEMBERED", remembered)
+    rng = random.Random(limit + remembered)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = [noise(700), noise(450), "z" * 900]
+    texts = [noise(rng.randrange(300)) + rng.choice(shared) + noise(rng.randrange(300)) for _ in range(60)] + [noise(600) for _ in range(10)] + [rng.choice(shared)[20:-15] for _ in range(20)]
+    rng.shuffle(texts)
+    batch = lambda ids, **more: pa.table({"doc_id": pa.array(ids, pa.int64()), "same": pa.array(ids, pa.int64()), "text": [texts[i] for i in ids], **more}).combine_chunks().to_batches()
+    halves = [list(range(45)), list(range(45, len(texts)))]
+
+    def shuffled(rows, *by):
+        return pa.Table.from_batches(rows).sort_by([(k, "ascending") for k in by]).to_batches(max_chunksize=50)
+
+    sent = [b for ids in halves for b in substrings._first_pass(iter(batch(ids)))]
+    found = pa.Table.from_batches(list(substrings._second_pass(iter(shuffled(sent, "c1", "c2", "hull"))))).to_pylist()
+    marks = {i: [r for r in found if r["doc_id"] == i and r["kind"] in (substrings.LAST, substrings.SHOW)] for i in range(len(texts))}
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("kind", pa.int32())]))
+    last = []
+    for ids in halves:
+        ids = [i for i in ids if marks[i]]
+        if ids:
+            last += substrings._third_pass(iter(batch(ids, marks=pa.array([[{k: r[k] for k in ("s", "n", "kind")} for r in marks[i]] for i in ids], kind))))
+    done = [r for r in found if r["kind"] == substrings.REPEATED]
+    if last:
+        done += pa.Table.from_batches(list(substrings._last_pass(iter(shuffled(last, "c1", "c2"))))).to_pylist()
+    got = {i: {w for r in done if r["doc_id"] == i for w in range(r["s"], r["s"] + r["n"])} for i in range(len(texts))}
+    count = Counter(t[w : w + 400] for t in texts for w in range(len(t) - 399))
+    assert got == {i: {w for w in range(len(t) - 399) if count[t[w : w + 400]] > 1} for i, t in enumerate(texts)}
