@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 
 from leafmill.llm.common import parts
 
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 5, 8
 FRAME, HOP, BANDS, FRAMES = 256, 128, 24, 64
+#: Seconds from frame to frame.
+STEP = HOP * DOWN / UP / RATE
 #: Above and below the median log energy; frames that an active stretch has at least.
 ON, OFF, LEAST = 0.25, 0.05, 2
 UNIT = 576
@@ -126,31 +128,41 @@ def features(media: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return frames, segments(frames.mean(1))
 
 
-def digest(frames: np.ndarray, spans: list[tuple[int, int]]) -> str:
-    """Equal for equal samples: shape, band means in thousandths, number of active stretches and frames in them, and a checksum of the frames in hundredths."""
+def blocks(media: bytes) -> tuple[int, np.ndarray, list[list[tuple[float, float]]]]:
+    """Number of frames, tensors of FRAMES x BANDS, the last filled with the lowest value, and the active spans in each, in seconds."""
+    frames, spans = features(media)
+    fill = np.full((-len(frames) % FRAMES, BANDS), frames.min(), np.float32)
+    tensors = np.concatenate([frames, fill]).reshape(-1, FRAMES, BANDS)
+    inside: list[list[tuple[float, float]]] = [[] for _ in tensors]
+    for s, e in spans:
+        for k in range(s // FRAMES, -(-e // FRAMES)):
+            inside[k].append((max(k * FRAMES, s) * STEP, min((k + 1) * FRAMES, e) * STEP))
+    return len(frames), tensors, inside
+
+
+def digest(n: int, tensors: np.ndarray, active: list[list[tuple[float, float]]]) -> str:
+    """Equal for equal samples: shape, band means in thousandths, number of active spans and milliseconds in them, and a checksum of the frames in hundredths. n: frames of the tensors that are not filling."""
+    frames = tensors.reshape(-1, BANDS)[:n]
     means = np.rint(frames.mean(0, dtype=np.float64) * 1000).astype(int)
     check = zlib.crc32(np.rint(frames * 100).astype("<i4").tobytes())
-    return f"{len(frames)}x{frames.shape[1]};{','.join(map(str, means))};{len(spans)}:{sum(b - a for a, b in spans)};{check:08x}"
+    spans = [x for block in active for x in block]
+    return f"{n}x{BANDS};{','.join(map(str, means))};{len(spans)}:{round(sum(b - a for a, b in spans) * 1000)};{check:08x}"
 
 
 def tensors(docs: DataFrame) -> DataFrame:
     """A row for each FRAMES frames: doc_id, chunk, start_s and end_s, tensor (FRAMES * BANDS floats, row by row), active spans in seconds.
 
-    The last tensor of a document is filled with its lowest value. A null text counts as empty, whose payload is one
+    The last tensor of a document is filled with its lowest value; a span that two tensors share is cut. A null text counts as empty, whose payload is one
     unit of padding; repeated rows come out repeated. as_tensor() gives the column Arrow's type of fixed shape.
     """
-    hop = HOP * DOWN / UP / RATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             out: list[tuple] = []
             for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                frames, spans = features(wav(padded((text or "").encode())))
-                fill = np.full((-len(frames) % FRAMES, BANDS), frames.min(), np.float32)
-                for k, block in enumerate(np.concatenate([frames, fill]).reshape(-1, FRAMES * BANDS)):
-                    a, b = k * FRAMES, min((k + 1) * FRAMES, len(frames))
-                    inside = [{"start_s": max(a, s) * hop, "end_s": min(b, e) * hop} for s, e in spans if s < b and e > a]
-                    out.append((i, k, a * hop, b * hop, block, inside))
+                n, made, active = blocks(wav(padded((text or "").encode())))
+                for k, (block, inside) in enumerate(zip(made, active)):
+                    out.append((i, k, k * FRAMES * STEP, min((k + 1) * FRAMES, n) * STEP, block.ravel(), [{"start_s": a, "end_s": b} for a, b in inside]))
             names = ["doc_id", "chunk", "start_s", "end_s", "tensor", "active"]
             kinds = [part.schema.field("doc_id").type, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float32()), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
             for at in range(0, len(out), 512):
@@ -170,7 +182,8 @@ def as_tensor(column: pa.Array) -> pa.FixedShapeTensorArray:
 def media(docs: DataFrame) -> DataFrame:
     """A row for each document: sizes and digests of payload and stored form, both after reading back, and the features' digest.
 
-    Nulls and repeats as by tensors(); only doc_id and text are read.
+    The features' digest is taken from the document's tensors, as Arrow holds them, and their time spans. Nulls and
+    repeats as by tensors(); only doc_id and text are read.
     """
     names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
 
@@ -178,10 +191,12 @@ def media(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for part in parts(batches):
             rows = []
-            for text in part.column("text").to_pylist():
+            for text in part.column("text").to_pylist():  # one document's tensors at a time: a long text has many
                 stored = wav(padded(data := (text or "").encode()))
                 back, _ = samples(stored)
-                rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), digest(*features(stored))))
+                n, made, active = blocks(stored)
+                held = pa.FixedShapeTensorArray.from_numpy_ndarray(made)
+                rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), digest(n, held.to_numpy_ndarray(), active)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
