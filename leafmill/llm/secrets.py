@@ -128,7 +128,7 @@ def ordinary_sample(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
                 for s, _, e in reversed(base_spans(t)):
                     t = t[:s] + " " + t[e:]
                 found = IDENTIFIER.findall(t)
-                out += found[:: max(1, len(found) // EACH)][:EACH]
+                out += found if len(found) <= EACH else [found[k * len(found) // EACH] for k in range(EACH)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["word"])
 
     # Counted before they are collected: one row for each distinct word, of which the sample's bound holds.
