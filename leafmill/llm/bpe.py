@@ -213,7 +213,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (packed), n_tokens, offsets of each token in the text's UTF-8.
+    """doc_id, ids (packed), n_tokens, offsets of each token in the text's UTF-8, decoded_sha256 of the bytes that the ids decode to.
 
     A null text counts as an empty one and has no ids; repeated rows come out repeated; only doc_id and text are read.
     """
@@ -224,10 +224,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for doc_id, texts in _texts(batches):
             ids = c.encode(texts)
             offsets = pa.array([c.offsets(x) for x in ids], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), offsets], ["doc_id", "ids", "n_tokens", "offsets"])
+            digests = pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), offsets, digests], ["doc_id", "ids", "n_tokens", "offsets", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, offsets array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, offsets array<long>, decoded_sha256 string")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
