@@ -36,8 +36,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, packed; they decode to the document's text."""
-    return bpe.encode(docs, public_tokenizers.path(bpe.RANKS)).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    """Token ids, packed, where each token begins, and the digest of what the ids decode to, which is that of the text."""
+    told = bpe.encode(docs, public_tokenizers.path(bpe.RANKS))
+    return told.select("doc_id", "n_tokens", "ids", "offsets", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 STAGES = [("quality", keep_good), ("line_dedup", drop_lines), ("near_dedup", keep_one), ("decontaminate", drop_leaks), ("encode", encode)]
