@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -47,11 +49,14 @@ def test_stages_one_after_another(spark, tmp_path):
     codec = bpe.codec(public_tokenizers.path(bpe.RANKS))
     texts = rows("decontaminate")
     assert {r["doc_id"]: codec.decode(bytes(r["ids"])).decode() for r in seen["encode"]} == {i: t or "" for i, t in texts.items()}
+    sha = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
+    assert {r["doc_id"]: r["decoded_sha256"] for r in seen["encode"]} == sha
+    assert all(len(r["offsets"]) == r["n_tokens"] + 1 and r["offsets"][-1] == len((texts[r["doc_id"]] or "").encode()) for r in seen["encode"])
 
 
 def test_run_has_the_rows_of_the_stages(spark):
     got = pipeline.run(spark, SMALL)
-    assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256"] and got.count() > 20
+    assert got.columns == ["doc_id", "n_tokens", "ids", "offsets", "ids_sha256", "decoded_sha256"] and got.count() > 20
     assert got.where(F.col("n_tokens") * 4 != F.length("ids")).count() == 0
 
 
