@@ -125,7 +125,7 @@ def run_judge(a: argparse.Namespace, say=print) -> int:
     os.makedirs(a.report_dir, exist_ok=True)
     at = os.path.join(a.report_dir, "judge_report.json")
     with open(at, "w", encoding="utf-8") as f:
-        f.write(judge.report(documents, pages, getattr(a.model, "__name__", "judge"), a.pages_per_pdf))
+        f.write(judge.report(documents, pages, getattr(a.model, "__name__", "judge"), a.pages_per_pdf, files))
     say(f"report: {at}")
     return 0
 

@@ -90,9 +90,10 @@ def with_assets(jobs: DataFrame, files: DataFrame | None) -> DataFrame:
     """Adds `assets`, a map from each image link of a Markdown text to its bytes or the reason that there are none.
 
     jobs: with path, format and text (see functions.sniffing.decode_text); files: path and content of what local links
-    may refer to. Rows of other formats have null.
+    may refer to. Rows of other formats have null and pass by: their contents meet no join.
     """
-    one = jobs.where("format = 'md'").select("path", F.explode(F.array_distinct(links.image_links(F.col("text.text")))).alias("link"))
+    is_md = F.coalesce(F.col("format") == "md", F.lit(False))
+    one = jobs.where(is_md).select("path", F.explode(F.array_distinct(links.image_links(F.col("text.text")))).alias("link"))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     one = one.withColumn("kind", links.kind(F.col("link"))).withColumn("target", F.when(F.col("kind") == "file", F.concat(folder, F.lit("/"), links.local_path(F.col("link")))))
     if files is None:
@@ -102,7 +103,9 @@ def with_assets(jobs: DataFrame, files: DataFrame | None) -> DataFrame:
     told = told.withColumn("bytes", F.when(F.col("kind") == "data", links.data_bytes(F.col("link"))).otherwise(F.col("bytes")))
     entry = F.struct("link", F.struct("bytes", links.warning(F.col("link"), F.col("bytes").isNotNull()).alias("warning")))
     maps = told.groupBy("path").agg(F.map_from_entries(F.collect_list(entry)).alias("assets"))
-    return jobs.join(maps, "path", "left")
+    found = jobs.where(is_md).join(maps, "path", "left")
+    others = jobs.where(~is_md)
+    return found.unionByName(others.withColumn("assets", F.lit(None).cast(found.schema["assets"].dataType)))
 
 
 def extract(jobs: DataFrame, options: Options = Options(), backend: Backend = pdf.default, files: DataFrame | None = None) -> DataFrame:

@@ -39,11 +39,16 @@ class Judge(Protocol):
     def ask(self, prompt: str, png: bytes) -> Reply: ...
 
 
+def pdf_name(documents: DataFrame) -> Column:
+    """What the report calls a document: the last part of its results' folder, of rows without one that of its source."""
+    return F.substring_index("folder" if "folder" in documents.columns else "source", "/", -1)
+
+
 def eligible(documents: DataFrame) -> DataFrame:
     """A row for each page from OCR that is ok, of PDFs that are: source, pdf_name, page, text, position (from 0), n."""
     ocr = F.filter("units", lambda u: (u["origin"] == "ocr") & (u["status"] == "ok") & (F.coalesce(u["page"], F.lit(0)) > 0))
-    some = documents.where("format = 'pdf' and status <> 'error'").withColumn("__pages", ocr)
-    return some.select("source", F.size("__pages").alias("n"), F.posexplode("__pages").alias("position", "u")).select("source", F.substring_index("source", "/", -1).alias("pdf_name"), F.col("u.page").alias("page"), F.col("u.text").alias("text"), "position", "n")
+    some = documents.where("format = 'pdf' and status <> 'error'").withColumn("__pages", ocr).withColumn("__name", pdf_name(documents))
+    return some.select("source", "__name", F.size("__pages").alias("n"), F.posexplode("__pages").alias("position", "u")).select("source", F.col("__name").alias("pdf_name"), F.col("u.page").alias("page"), F.col("u.text").alias("text"), "position", "n")
 
 
 def sampled(pages: DataFrame, k: int = 3) -> DataFrame:
@@ -63,13 +68,23 @@ def source_pdf(recorded: Column, in_folder: Column) -> Column:
     return F.coalesce(recorded, in_folder)
 
 
-def with_pdf(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds `pdf`, the content of each document's source: by its path, else by its name. files: path, content."""
-    here = files.select(F.col("path").alias("__path"), F.col("content").alias("__a"))
-    named = files.groupBy(F.substring_index("path", "/", -1).alias("__name")).agg(F.min_by("content", "path").alias("__b"))
-    out = documents.join(here, documents["source"] == here["__path"], "left")
-    out = out.join(named, F.substring_index(out["source"], "/", -1) == named["__name"], "left")
-    return out.withColumn("pdf", source_pdf(F.col("__a"), F.col("__b"))).drop("__path", "__a", "__name", "__b")
+def located(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """source and pdf_path, where each document's PDF is: at its path, else the first of that name, else null. files: path; no content is read."""
+    paths = files.select(F.col("path").alias("__path")).distinct()
+    named = paths.groupBy(F.substring_index("__path", "/", -1).alias("__name")).agg(F.min("__path").alias("__first"))
+    sources = documents.select("source").distinct()
+    out = sources.join(paths, F.col("source") == F.col("__path"), "left").join(named, F.substring_index("source", "/", -1) == F.col("__name"), "left")
+    return out.select("source", source_pdf(F.col("__path"), F.col("__first")).alias("pdf_path"))
+
+
+def with_pdf(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds `pdf`, the content of each page's source, by located(). files: path, content.
+
+    Paths are settled first; contents come last, and only of files that pages were sampled from.
+    """
+    where = located(pages, files)
+    wanted = files.select(F.col("path").alias("pdf_path"), F.col("content").alias("pdf")).join(where.select("pdf_path").distinct(), "pdf_path", "left_semi")
+    return pages.join(where, "source", "left").join(wanted, "pdf_path", "left").drop("pdf_path")
 
 
 ASKED = pa.struct([("reply", pa.string()), ("seconds", pa.float64()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("error", pa.string())])
@@ -80,10 +95,11 @@ def _stage(factory: Callable[[], Judge], backend: Backend):
         judge, out = None, []
         for c, n, p in zip(content, page, prompt):
             row = {"reply": None, "seconds": None, "tokens_in": None, "tokens_out": None, "error": None}
+            if not c.is_valid:
+                out.append(row | {"error": NO_PDF})
+                continue
             began = time.perf_counter()
             try:
-                if not c.is_valid:
-                    raise FileNotFoundError(NO_PDF)
                 judge = judge or factory()
                 with backend().open(c.as_py()) as doc:
                     size = doc.page(n.as_py())
@@ -130,19 +146,41 @@ def summaries(pages: DataFrame, key: str = "source") -> DataFrame:
     return good.rollup(key).agg(*judging.summary(), (F.grouping(key) == 1).alias("is_overall"))
 
 
-def report(documents: DataFrame, pages: DataFrame, model: str, k: int = 3) -> str:
-    """The report as JSON. It holds only sampled pages, k for each PDF, which someone is going to read."""
-    of = {}
+def _figures(row: dict) -> dict:
+    """A summary as the report has it: verdicts in an object of their own."""
+    told = {"number_of_pages_per_llm_verdict": {v: row[f"number_of_pages_{v}"] for v in judging.VERDICTS}}
+    return {c: v for c, v in row.items() if c not in ("source", "is_overall", "number_of_pages_judged", *(f"number_of_pages_{v}" for v in judging.VERDICTS))} | told
+
+
+def report(documents: DataFrame, pages: DataFrame, model: str, k: int = 3, files: DataFrame | None = None) -> str:
+    """The report as JSON. It holds only sampled pages, k for each PDF, which someone is going to read.
+
+    files: path of the PDFs that are there, so that a missing one is told of documents without OCR pages as well.
+    A document whose PDF is missing has no judged pages.
+    """
+    of, missing = {}, set()
     for r in pages.orderBy("source", "page").toLocalIterator():
         d = r.asDict(recursive=True)
-        of.setdefault(d.pop("source"), []).append({"page_number": d.pop("page"), **{c: v for c, v in d.items() if c not in ("pdf_name", "position", "n", "text", "reply") and (v is not None or c != "error_message")}})
-    sums = {(r["source"], r["is_overall"]): {c: v for c, v in r.asDict().items() if c not in ("source", "is_overall")} for r in summaries(pages).collect()}
-    pdfs = []
+        source = d.pop("source")
+        if d["error_message"] == NO_PDF:
+            missing.add(source)
+        else:
+            of.setdefault(source, []).append({"page_number": d.pop("page"), **{c: v for c, v in d.items() if c not in ("pdf_name", "position", "n", "text", "reply") and (v is not None or c != "error_message")}})
+    sums = {(r["source"], r["is_overall"]): r.asDict() for r in summaries(pages).collect()}
     counted = F.size(F.filter("units", lambda u: (u["origin"] == "ocr") & (u["status"] == "ok") & (F.coalesce(u["page"], F.lit(0)) > 0))).alias("n")
-    for r in documents.where("format = 'pdf' and status <> 'error'").select("source", counted).orderBy("source").toLocalIterator():
-        entry = {"pdf_name": r["source"].rpartition("/")[2], "source_pdf_path": r["source"], "total_ocr_pages_in_pdf": r["n"], "judged_pages": of.get(r["source"], [])}
-        if not r["n"]:
+    read = documents.where("format = 'pdf' and status <> 'error'").select("source", pdf_name(documents).alias("name"), counted)
+    read = read.withColumn("lost", F.lit(False)) if files is None else read.join(located(read, files), "source", "left").withColumn("lost", F.col("pdf_path").isNull())
+    pdfs, judged = [], 0
+    for r in read.orderBy("source", "name").toLocalIterator():
+        entry = {"pdf_name": r["name"], "source_pdf_path": r["source"], "total_ocr_pages_in_pdf": r["n"], "judged_pages": of.get(r["source"], [])}
+        if r["lost"] or r["source"] in missing:
+            entry["error_message"] = NO_PDF
+        elif not r["n"]:
             entry["error_message"] = NO_PAGES
-        pdfs.append(entry | sums.get((r["source"], False), {}))
-    overall = {"number_of_pdfs_judged": sum("number_of_pages_judged" in p for p in pdfs), "number_of_pages_judged": 0} | sums.get((None, True), {})
+        if own := sums.get((r["source"], False)):
+            entry |= _figures(own)
+            judged += 1
+        pdfs.append(entry)
+    whole = sums.get((None, True), {"number_of_pages_judged": 0})
+    overall = {"number_of_pdfs_judged": judged, "number_of_pages_judged": whole["number_of_pages_judged"]} | (_figures(whole) if whole["number_of_pages_judged"] else {})
     return json.dumps({"how_to_read": HOW_TO_READ, "judge_model_name": model, "max_pages_judged_per_pdf": k, "overall_summary": overall, "pdfs": pdfs}, ensure_ascii=False, indent=2)

@@ -73,5 +73,6 @@ def write_documents(documents: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All document.json below a folder, by schema.DOCUMENT; keys that it doesn't have are passed over."""
-    return spark.read.schema(DOCUMENT).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "document.json").json(folder)
+    """All document.json below a folder, by schema.DOCUMENT, and the `folder` of each; keys that the schema doesn't have are passed over."""
+    found = spark.read.schema(DOCUMENT).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "document.json").json(folder)
+    return found.select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"))

@@ -143,8 +143,21 @@ def test_grades(spark, written, inbox):
     assert r["overall_summary"]["number_of_pages_judged"] == 5 and r["overall_summary"]["average_llm_quality_rating_out_of_10"] == 9 and r["overall_summary"]["number_of_pages_with_wrong_reading_order"] == 5
     of = {p["pdf_name"]: p for p in r["pdfs"]}
     assert of["fine.pdf"]["error_message"].startswith("no OCR pages") and of["scan.pdf"]["total_ocr_pages_in_pdf"] == 7 and len(of["scan.pdf"]["judged_pages"]) == 3
-    lost = judge.judge_pages(judge.with_pdf(sampled, pdfs.limit(0)), fakes.FakeJudge, fakes.FakePdf).collect()
-    assert all("source PDF not found" in r["error_message"] for r in lost)
+    assert of["scan.pdf"]["number_of_pages_per_llm_verdict"] == {"good": 3, "acceptable": 0, "poor": 0} and "number_of_pages_judged" not in of["scan.pdf"]
+    lost = judge.judge_pages(judge.with_pdf(sampled, pdfs.limit(0)), fakes.FakeJudge, fakes.FakePdf).cache()
+    assert all("source PDF not found" in r["error_message"] for r in lost.collect())
+    r = json.loads(judge.report(docs, lost, "fake", files=pdfs.limit(0)))
+    assert r["overall_summary"] == {"number_of_pdfs_judged": 0, "number_of_pages_judged": 0}
+    assert all(p["error_message"] == judge.NO_PDF and not p["judged_pages"] for p in r["pdfs"]) and len(r["pdfs"]) > 1
+
+
+def test_pdfs_by_path_then_by_name(spark):
+    files = spark.createDataFrame([("/a/x.pdf", b"1"), ("/b/x.pdf", b"2"), ("/c/y.pdf", b"3"), ("/c/z.pdf", b"4")], "path string, content binary")
+    pages = spark.createDataFrame([("/b/x.pdf", 1), ("/b/x.pdf", 2), ("/q/x.pdf", 1), ("/q/y.pdf", 1), ("/q/none.pdf", 1), (None, 1)], "source string, page int")
+    found = judge.with_pdf(pages, files)
+    got = sorted((r["source"] or "", r["page"], r["pdf"] and bytes(r["pdf"])) for r in found.collect())
+    assert got == [("", 1, None), ("/b/x.pdf", 1, b"2"), ("/b/x.pdf", 2, b"2"), ("/q/none.pdf", 1, None), ("/q/x.pdf", 1, b"1"), ("/q/y.pdf", 1, b"3")]
+    assert found.columns == ["source", "page", "pdf"]
 
 
 def test_stream(spark, inbox, tmp_path):
