@@ -1,14 +1,16 @@
 """OCR through an engine that is plugged in: only documents with something to recognise send bytes to Python.
 
 A factory makes the engine in each Python worker, when the first image comes. If that fails it isn't tried again: every
-unit after it has the same error.
+unit after it has the same error. A worker holds one engine: that of an earlier run is closed before another is made.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -59,6 +61,11 @@ def engine(key: str, factory: Callable[[], Engine]) -> tuple[Engine, float]:
     """This worker's engine of a run, and the seconds that it took to make (0 if it was there)."""
     fresh = key not in _made
     if fresh:
+        for old, *_ in _made.values():
+            if old is not None:
+                with suppress(Exception):  # what is over must not stop what begins
+                    old.close()
+        _made.clear()
         began = time.perf_counter()
         try:
             _made[key] = factory(), None, time.perf_counter() - began
@@ -71,14 +78,15 @@ def engine(key: str, factory: Callable[[], Engine]) -> tuple[Engine, float]:
 
 
 BLOCKS = pa.list_(pa.struct([("order", pa.int32()), ("label", pa.string()), ("type", pa.string()), ("bbox_xyxy", pa.list_(pa.float64())), ("conf", pa.float64()), ("text", pa.string())]))
-RESULT = pa.struct([("error_type", pa.string()), ("message", pa.string()), ("width_px", pa.int32()), ("height_px", pa.int32()), ("blocks", BLOCKS), ("markdown", pa.string()), ("warnings", pa.list_(pa.string())), ("seconds", pa.float64()), ("load_seconds", pa.float64())])
-RESULT_DDL = f"struct<error_type:string,message:string,width_px:int,height_px:int,blocks:array<{BLOCK}>,markdown:string,warnings:array<string>,seconds:double,load_seconds:double>"
+RESULT = pa.struct([("error_type", pa.string()), ("message", pa.string()), ("width_px", pa.int32()), ("height_px", pa.int32()), ("blocks", BLOCKS), ("markdown", pa.string()), ("warnings", pa.list_(pa.string())), ("seconds", pa.float64()), ("load_seconds", pa.float64()), ("engine", pa.string())])
+RESULT_DDL = f"struct<error_type:string,message:string,width_px:int,height_px:int,blocks:array<{BLOCK}>,markdown:string,warnings:array<string>,seconds:double,load_seconds:double,engine:string>"
 
 
 def _recognise(request: dict, content: bytes | None, doc, key: str, factory) -> dict:
-    began, load = time.perf_counter(), 0.0
+    began, load, said = time.perf_counter(), 0.0, None
     try:
         maker, load = engine(key, factory)
+        said = clean(json.dumps(maker.info(), ensure_ascii=False, sort_keys=True))
         if request["page"] is not None:
             image = doc().render(request["page"], request["dpi"])
         else:
@@ -89,7 +97,7 @@ def _recognise(request: dict, content: bytes | None, doc, key: str, factory) ->
     except Exception as e:  # a page must not take the others with it
         kind, message = map(clean, as_error(e))
         out = {"error_type": kind, "message": message}
-    return out | {"seconds": round(time.perf_counter() - began, 2), "load_seconds": load}
+    return out | {"seconds": round(time.perf_counter() - began, 2), "load_seconds": load, "engine": said}
 
 
 def _stage(factory: Callable[[], Engine], backend: Backend):
@@ -136,7 +144,8 @@ def _merged(u: Column, r: Column) -> Column:
 
 
 def recognise(documents: DataFrame, factory: Callable[[], Engine] = NoEngine, backend: Backend = pdf.default) -> DataFrame:
-    """Fills in the units that have a request. Adds `ocr_seconds` and `load_seconds`; units lose their request.
+    """Fills in the units that have a request. Adds `ocr_seconds`, `load_seconds` and `ocr_engine`, what the engine says of
+    itself as JSON (null where none was at work); units lose their request.
 
     documents: with `content` and `units` (see operators.units).
     """
@@ -147,4 +156,6 @@ def recognise(documents: DataFrame, factory: Callable[[], Engine] = NoEngine, ba
     out = documents.withColumn("__found", stage(F.when(needs_file, F.col("content")), F.when(F.size(asked) > 0, requests)))
     units = F.transform("units", lambda u, k: _merged(u, F.get(F.col("__found"), k)))
     total = lambda name: F.aggregate("__found", F.lit(0.0), lambda s, r: s + F.coalesce(F.bround(r[name], 2), F.lit(0.0)))
+    named = F.get(F.filter(F.transform("__found", lambda r: r["engine"]), lambda e: e.isNotNull()), F.lit(0))
+    out = out.withColumn("ocr_engine", named)
     return out.withColumn("units", fence(units)).withColumn("ocr_seconds", F.coalesce(F.bround(total("seconds"), 2), F.lit(0.0))).withColumn("load_seconds", F.coalesce(F.bround(total("load_seconds"), 2), F.lit(0.0))).drop("__found")

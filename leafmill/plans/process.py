@@ -74,6 +74,8 @@ def documents_of(jobs: DataFrame, options: Options = Options(), engine: Callable
     )
     kept = F.when(fine, F.col("__out.units")).otherwise(F.slice("units", 1, 0))
     kept = F.transform(kept, lambda u: u.withField("seconds", F.lit(None).cast("double"))) if options.deterministic else kept
+    took_part = versions(F.col("format"))
+    took_part = F.when(F.col("ocr_engine").isNotNull(), F.map_concat(took_part, F.create_map(F.lit("ocr_engine"), F.col("ocr_engine")))).otherwise(took_part)
     out = told.select(
         "input", "path", "rel_dir", "name", "source", "sha256", "format",
         F.when(fine, F.col("__out.status")).otherwise("error").alias("status"),
@@ -81,7 +83,7 @@ def documents_of(jobs: DataFrame, options: Options = Options(), engine: Callable
         F.when(fine, F.col("__out.message")).otherwise(F.coalesce("message", "read.message", F.lit(""))).alias("message"),
         F.size(kept).alias("unit_count"), kept.alias("units"), warnings.alias("warnings"),
         (F.lit(None) if options.deterministic else timings).alias("timings"),
-        versions(F.col("format")).alias("tool_versions"), F.lit(attribution).alias("model_attribution"),
+        took_part.alias("tool_versions"), F.lit(attribution).alias("model_attribution"),
     )
     from pyspark.sql.types import _parse_datatype_string
 

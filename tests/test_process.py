@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import documents as D
-from leafmill.operators import folders, judge
+from leafmill.operators import folders, judge, ocr
 from leafmill.operators.ocr import NoEngine
 from leafmill.operators.units import exploded
 from leafmill.plans.process import process, process_to
-from leafmill.schema import Options
+from leafmill.schema import Options, ReadError
 from leafmill.sources.results import read_documents
 from leafmill.streaming import folder as stream
 from tests import fakes, files
@@ -77,6 +77,7 @@ def test_other_units(results):
     assert [w.split(":")[0] for w in notes["warnings"]] == ["remote image not fetched (no network calls are made)", "image outside the document's folder was not read", "image file not found"]
     assert got["sub/notes.md"]["units"][0]["warnings"][0].startswith("not valid UTF-8") and got["sub/notes.md"]["units"][0]["text"] == "café"
     assert got["page.png"]["sha256"] and got["page.png"]["tool_versions"]["spark"] and got["page.png"]["timings"]["ocr_seconds"] >= 0
+    assert "ocr_engine" not in got["sub/notes.md"]["tool_versions"] and json.loads(got["scan.pdf"]["tool_versions"]["ocr_engine"]) == {"name": "fake"}
 
 
 def test_without_an_engine_native_files_are_fine(spark, inbox):
@@ -151,6 +152,22 @@ def test_grades(spark, written, inbox):
     assert all(p["error_message"] == judge.NO_PDF and not p["judged_pages"] for p in r["pdfs"]) and len(r["pdfs"]) > 1
 
 
+def test_one_engine_at_a_time():
+    closed = []
+
+    class Engine(fakes.FakeEngine):
+        def close(self):
+            closed.append(self)
+
+    first, _ = ocr.engine("a", Engine)
+    assert ocr.engine("a", Engine) == (first, 0.0) and not closed
+    second, _ = ocr.engine("b", Engine)
+    assert closed == [first] and second is not first
+    with pytest.raises(ReadError):
+        ocr.engine("c", NoEngine)
+    assert closed == [first, second]
+
+
 def test_pdfs_by_path_then_by_name(spark):
     files = spark.createDataFrame([("/a/x.pdf", b"1"), ("/b/x.pdf", b"2"), ("/c/y.pdf", b"3"), ("/c/z.pdf", b"4")], "path string, content binary")
     pages = spark.createDataFrame([("/b/x.pdf", 1), ("/b/x.pdf", 2), ("/q/x.pdf", 1), ("/q/y.pdf", 1), ("/q/none.pdf", 1), (None, 1)], "source string, page int")
