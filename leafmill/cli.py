@@ -85,15 +85,19 @@ def run_process(a: argparse.Namespace, say=print) -> int:
     from leafmill.plans.process import process_to
 
     began = time.monotonic()
-    found, skipped = process_to(_session(), a.inputs, a.out, options_of(a), a.engine or NoEngine)
+
+    def stamped(what: str) -> None:
+        passed = int(time.monotonic() - began)
+        print(f"[{passed // 60:02d}:{passed % 60:02d}] {what}", file=sys.stderr)
+
+    found, skipped = process_to(_session(), a.inputs, a.out, options_of(a), a.engine or NoEngine, on_read=lambda n: stamped(f"read {n['documents']} file(s), {n['units']} unit(s), {n['ocr_units']} of them by OCR"))
     line = D.summary_line(D.origin_counts(F.col("units")), F.col("timings.total_seconds"), F.col("status"), F.col("error_type"), F.col("message"))
     for r in found.orderBy("input", "path").select("status", "source", "folder", line.alias("said")).toLocalIterator():
         say(f"{r['status']:<8} {r['source']}  ->  {r['folder']}  {r['said']}")
     for r in skipped.orderBy("source").toLocalIterator():
         print(f"skipped  {r['source']}  (unsupported file type)", file=sys.stderr)
     n = D.status_counts(found).first()
-    passed = int(time.monotonic() - began)
-    print(f"[{passed // 60:02d}:{passed % 60:02d}] done", file=sys.stderr)
+    stamped("done")
     say(f"{n['documents']} document(s): {n['ok']} ok, {n['partial']} partial, {n['error']} error. Output: {a.out}")
     return n["exit_code"]
 

@@ -7,6 +7,7 @@ unit after it has the same error. A worker holds one engine: that of an earlier
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -28,15 +29,29 @@ from leafmill.sources.images import upright_png
 from leafmill.sources.items import clean
 
 
+# A worker's environment before it makes an engine. Checkpoints are local: nothing goes to the network.
+OFFLINE = {"HF_HUB_OFFLINE": "1", "TRANSFORMERS_OFFLINE": "1"}
+QUIET = {"HF_HUB_DISABLE_PROGRESS_BARS": "1", "TRANSFORMERS_VERBOSITY": "error", "TOKENIZERS_PARALLELISM": "false"}
+
+
 @dataclass
 class Recognised:
-    """What an engine makes of an image. blocks: dicts by schema.BLOCK."""
+    """What an engine makes of an image. blocks: dicts by schema.BLOCK; capped: how many of them ended at the engine's
+    limit of `most_tokens`, which becomes a warning.
+    """
 
     width: int
     height: int
     blocks: list[dict]
     markdown: str = ""
     warnings: list[str] = field(default_factory=list)
+    capped: int = 0
+    most_tokens: int | None = None
+
+    def said(self) -> list[str]:
+        """All warnings."""
+        limit = "" if self.most_tokens is None else f"{self.most_tokens}-"
+        return [*self.warnings, *([f"{self.capped} block(s) reached the {limit}token limit; their text may be cut off"] if self.capped else [])]
 
 
 class Engine(Protocol):
@@ -66,6 +81,7 @@ def engine(key: str, factory: Callable[[], Engine]) -> tuple[Engine, float]:
                 with suppress(Exception):  # what is over must not stop what begins
                     old.close()
         _made.clear()
+        os.environ.update(QUIET | dict(os.environ) | OFFLINE)
         began = time.perf_counter()
         try:
             _made[key] = factory(), None, time.perf_counter() - began
@@ -93,7 +109,7 @@ def _recognise(request: dict, content: bytes | None, doc, key: str, factory) ->
             image = upright_png(request["blob"] if request["blob"] is not None else content, request["frame"])
         got = maker.recognize(image)
         blocks = [{k: clean(v) if isinstance(v, str) else v for k, v in b.items()} for b in got.blocks]
-        out = {"width_px": got.width, "height_px": got.height, "blocks": blocks, "markdown": clean(got.markdown), "warnings": list(map(clean, got.warnings))}
+        out = {"width_px": got.width, "height_px": got.height, "blocks": blocks, "markdown": clean(got.markdown), "warnings": list(map(clean, got.said()))}
     except Exception as e:  # a page must not take the others with it
         kind, message = map(clean, as_error(e))
         out = {"error_type": kind, "message": message}

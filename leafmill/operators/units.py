@@ -76,7 +76,7 @@ def with_units(df: DataFrame, options: Options = Options()) -> DataFrame:
 
     def of(x: Column) -> Column:
         i = x["i"]
-        ocr = F.when(i["kind"] == "page", F.lit("native")).otherwise(F.lit("ocr"))
+        ocr = F.when((i["kind"] == "page") & i["frame"].isNull(), F.lit("native")).otherwise(F.lit("ocr"))
         return (
             F.when(i["what"] == "page", _page(x))
             .when(i["what"] == "image", _image(i, options))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from importlib import metadata
 
 import pyspark
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import sniffing
@@ -106,12 +106,31 @@ def process(spark: SparkSession, paths: Sequence[str], options: Options = Option
     return out, skipped
 
 
-def process_to(spark: SparkSession, paths: Sequence[str], out_dir: str, options: Options = Options(), engine: Callable = ocr.NoEngine, backend: extract.Backend = pdf.default) -> tuple[DataFrame, DataFrame]:
-    """process(), written: documents with `folder`, whose status is an OutputError where document.json couldn't be written."""
+def observed(documents: DataFrame, told: Observation) -> DataFrame:
+    """The same documents; told.get has the counts of what an action made of them: documents, ok, partial, error, units and ocr_units.
+
+    Tasks add the counts up while they work, so nothing is read again and no document comes to the driver.
+    """
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    by_status = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "partial", "error")]
+    by_origin = of(F.size(F.filter("units", lambda u: u["origin"] == "ocr"))).alias("ocr_units")
+    return documents.observe(told, F.count(F.lit(1)).alias("documents"), *by_status, of("unit_count").alias("units"), by_origin)
+
+
+def process_to(spark: SparkSession, paths: Sequence[str], out_dir: str, options: Options = Options(), engine: Callable = ocr.NoEngine, backend: extract.Backend = pdf.default, on_read: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """process(), written: documents with `folder`, whose status is an OutputError where document.json couldn't be written.
+
+    on_read is called with the counts of observed() once all files are read, before they are written.
+    """
     from leafmill.session import cut
 
     found, skipped = process(spark, paths, options, engine, backend, out_dir)
-    found = cut(found)  # read, recognised and written once
+    if on_read:
+        told = Observation()
+        found = cut(observed(found, told))
+        on_read(told.get)
+    else:
+        found = cut(found)  # read, recognised and written once
     wrote = cut(write_documents(found))
     bad = F.col("write_error").isNotNull()
     told = found.join(wrote.where(bad), "folder", "left")

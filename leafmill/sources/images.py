@@ -122,7 +122,7 @@ def read(content: bytes, pages: list[tuple[int, int | None]] | None = None, spec
         return [{"what": "note", "message": f"--pages {spec!r} selected no frame of this image"}]
     reason = "image file (pixels only, no text layer)"
     return [
-        {"what": "error", "kind": "page", "reason": reason, "page": k, "error_type": "CorruptFile", "message": BAD_FRAME} if sizes[k - 1] is None else
+        {"what": "error", "kind": "page", "reason": "image frame could not be read", "page": k, "frame": k - 1, "error_type": "CorruptFile", "message": BAD_FRAME} if sizes[k - 1] is None else
         {
             "what": "image", "kind": "page" if many else "image", "reason": reason, "page": k if many else None, "embedded": False, "frame": k - 1,
             "width_px": sizes[k - 1][0], "height_px": sizes[k - 1][1], "label": f"image frame {k}" if many else "image",

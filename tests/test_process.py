@@ -1,13 +1,14 @@
 """Folders of files, all the way to documents, JSON and grades."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import documents as D
 from leafmill.operators import folders, judge, ocr
-from leafmill.operators.ocr import NoEngine
+from leafmill.operators.ocr import NoEngine, Recognised
 from leafmill.operators.units import exploded
 from leafmill.plans.process import process, process_to
 from leafmill.schema import Options, ReadError
@@ -206,3 +207,31 @@ def test_numbers(spark):
     got = folders.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")), "k").collect()
     assert sorted((r["k"], r["n"], r["of"]) for r in got) == [(k, k + 1, 1000) for k in range(1000)]
     assert folders.numbered(spark.range(0), "id").count() == 0
+
+
+def test_capped_blocks_become_a_warning():
+    assert Recognised(1, 1, [], "", ["a"], capped=2, most_tokens=512).said() == ["a", "2 block(s) reached the 512-token limit; their text may be cut off"]
+    assert Recognised(1, 1, [], "", ["a"]).said() == ["a"]
+
+
+def test_an_engine_stays_off_the_network(monkeypatch):
+    for name in (*ocr.OFFLINE, *ocr.QUIET):
+        monkeypatch.delenv(name, raising=False)
+    monkeypatch.setenv("TRANSFORMERS_OFFLINE", "0")
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    seen = {}
+
+    class Looks(fakes.FakeEngine):
+        def __init__(self):
+            seen.update(os.environ)
+
+    ocr.engine("offline test", Looks)
+    assert (seen["HF_HUB_OFFLINE"], seen["TRANSFORMERS_OFFLINE"], seen["TOKENIZERS_PARALLELISM"], seen["TRANSFORMERS_VERBOSITY"]) == ("1", "1", "true", "error")
+    ocr._made.clear()
+
+
+def test_counts_are_told_once_files_are_read(spark, inbox, tmp_path):
+    told = []
+    found, _ = process_to(spark, [str(inbox / "fine.pdf"), str(inbox / "scan.pdf"), "/nowhere/x.pdf"], str(tmp_path / "out"), Options(), fakes.FakeEngine, fakes.FakePdf, told.append)
+    units = found.agg({"unit_count": "sum"}).first()[0]
+    assert len(told) == 1 and told[0]["documents"] == 3 and told[0]["error"] == 1 and told[0]["units"] == units and 0 < told[0]["ocr_units"] < units
