@@ -8,7 +8,7 @@ from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.plans.process import documents_of
@@ -108,18 +108,28 @@ def pdf(key: int, name: str, segment: str) -> bytes:
     return bytes(out) + f"xref\n0 {len(at) + 1}\n0000000000 65535 f \n{rows}trailer\n<< /Root 1 0 R /Size {len(at) + 1} >>\nstartxref\n{table_at}\n%%EOF\n".encode()
 
 
-def _read(spark: SparkSession, sf_dir: str, made: Callable[[int, str, str], bytes]) -> DataFrame:
-    """A file for each customer, through detection, reader, routes and roll-up; a row for each unit."""
+def jobs_of(spark: SparkSession, sf_dir: str, made: Callable[[int, str, str], bytes], extension: Column | None = None) -> DataFrame:
+    """A file for each customer, as by inputs.scan(); its extension is the maker's name unless another is given."""
 
     def run(key: pa.Array, name: pa.Array, segment: pa.Array) -> pa.Array:
         return pa.array([made(*row) for row in zip(key.to_pylist(), name.to_pylist(), segment.to_pylist())], pa.binary())
 
     text = lambda c: F.coalesce(c, F.lit(""))
-    path = F.concat(F.lit("/in/"), F.col("c_custkey").cast("string"), F.lit(f".{made.__name__}"))
+    path = F.concat(F.lit("/in/"), F.col("c_custkey").cast("string"), F.lit("."), F.lit(made.__name__) if extension is None else extension)
     rows = table(spark, sf_dir, "customer").select(path.alias("path"), F.arrow_udf(run, "binary")(F.col("c_custkey").cast("long"), text("c_name"), text("c_mktsegment")).alias("content"))
     jobs = rows.select(F.lit(0).alias("input"), F.col("path").alias("source"), "path", F.lit("").alias("rel_dir"), F.substring_index("path", "/", -1).alias("name"), F.length("content").cast("long").alias("length"), "content", F.lit(False).alias("missing"))
-    documents = documents_of(jobs.select(*(c.split()[0] for c in inputs.COLUMNS.split(", "))), Options())
-    units = documents.select(F.substring_index("name", ".", 1).cast("long").alias("c_custkey"), "format", F.col("status").alias("document_status"), F.explode("units").alias("u"))
+    return jobs.select(*(c.split()[0] for c in inputs.COLUMNS.split(", ")))
+
+
+def key_of(name: str = "name") -> Column:
+    """The customer that a file of jobs_of() was made of."""
+    return F.substring_index(name, ".", 1).cast("long").alias("c_custkey")
+
+
+def _read(spark: SparkSession, sf_dir: str, made: Callable[[int, str, str], bytes]) -> DataFrame:
+    """A file for each customer, through detection, reader, routes and roll-up; a row for each unit."""
+    documents = documents_of(jobs_of(spark, sf_dir, made), Options())
+    units = documents.select(key_of(), "format", F.col("status").alias("document_status"), F.explode("units").alias("u"))
     return units.select("c_custkey", "format", "document_status", *(F.col(f"u.{c}").alias(a) for c, a in (("index", "unit_index"), ("kind", "kind"), ("origin", "origin"), ("status", "status"), ("page", "page"), ("name", "name"), ("text", "text"), ("markdown", "markdown"))))
 
 

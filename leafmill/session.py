@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,21 @@ def show_package_to_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*have, ROOT])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder that spark.checkpoint.dir names; only a local session may have one of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str = "") -> str:
+    """The folder that spark.checkpoint.dir names, or a new one of that name within it; only a local session may have one of its own."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         at = spark.conf.get("spark.checkpoint.dir", None)
         if at is None and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="leafmill-"))
+    at = jsc.getCheckpointDir().get()
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}" if name else at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to shared_folder()."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
