@@ -130,7 +130,11 @@ def _with_bitmaps(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
 
 
 def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of the lines that stay, for every document."""
+    """doc_id, n_lines, n_dropped and the SHA-256 of the lines that stay, for every document.
+
+    A null or empty text is one empty line, which stays. Null and equal ids are treated as by bitmaps(); every row comes
+    out, and columns other than doc_id and text are not read.
+    """
 
     told, name = _with_bitmaps(docs.select("doc_id", "text"), least)
 
@@ -148,7 +152,11 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The documents with their lines dropped; other columns as they were, null texts stay null, n_chars (if there) follows the text."""
+    """The documents with their lines dropped; other columns as they were, null texts stay null, n_chars (if there) follows the text.
+
+    Null and equal ids are treated as by bitmaps(); repeated rows stay repeated, and a document that loses all its
+    lines stays with an empty text.
+    """
     names, schema = docs.columns, docs.schema
     told, name = _with_bitmaps(docs, least)
 

@@ -168,7 +168,7 @@ def scan(docs: DataFrame, chains: Chains | None = None) -> DataFrame:
 
 
 def report(spans: DataFrame) -> DataFrame:
-    """Counts and digests of what scan() returns."""
+    """Counts and digests of what scan() returns, a row for each of its rows; without spans counts are 0 and both lists empty."""
     joined = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     base = F.sha2(joined(lambda x: x.kind != "random").cast("binary"), 256)

@@ -339,7 +339,10 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archives the pages under the shared folder and reads the archives back."""
+    """Archives the pages under the shared folder and reads the archives back: a row for each page.
+
+    Nulls, equal ids and small payloads are treated as by archive(); other columns are not read.
+    """
     path = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     archive(pages, path)
     return read_back(pages.sparkSession, path)
