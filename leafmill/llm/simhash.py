@@ -7,8 +7,9 @@ follow the chain on from there, a segment at a time; what leaves its budget goes
 bits counted.
 
 Equal fingerprints are one node. A bucket of a key is not expanded into pairs: its nodes are compared in blocks of
-bounded size, inside a task, and only a spanning forest of the links comes out. Components are then found by
-alternating star contraction over tables, without bringing links to the driver.
+bounded size, inside a task, and only a spanning forest of the links comes out. Components are then found without
+bringing links to the driver: a number of links with a fixed bound by one task, more by alternating star contraction
+over tables.
 
 keep_one() has another measure, the Jaccard similarity of sets of shingles. At 0.8 a bit of SimHash differs with a
 probability of 0.15: keys long enough to keep buckets small would be needed by the hundred. Bands of minimal hashes
@@ -32,6 +33,8 @@ from leafmill.llm.common import Roots, beside, cut, mixed, parts, spare
 SEGMENTS = 16
 #: Fingerprints of a bucket that meet in one cell, and buckets larger than that which are broadcast.
 CELL, FEW = 4096, 100_000
+#: Links whose components one task finds.
+ALONE = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
@@ -185,24 +188,42 @@ def _dealt(told: DataFrame) -> DataFrame:
     return told.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all links v, u: what components() returns."""
+    rows = [(b.column("v").to_numpy(), b.column("u").to_numpy()) for b in batches if b.num_rows]
+    if rows:
+        v, u = (np.concatenate(c) for c in zip(*rows))
+        node, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+        roots = Roots(len(node))
+        for x, y in zip(at[: len(v)].tolist(), at[len(v) :].tolist()):
+            roots.join(x, y)
+        root = node[[roots.find(k) for k in range(len(node))]]
+        own = root != node
+        yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], ["node", "root"])
+
+
 def components(found: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node reachable by links a, b; nodes without links are left out.
+    """node, root: the smallest node reachable by links a, b; roots and nodes without links are left out.
 
-    Alternating large and small star: every node hooks its larger neighbours, then its smaller ones, on the smallest
-    node it knows. Rounds are cut by checkpoints; it ends when a round changes nothing. Links of hubs are dealt over
-    all tasks; there is none while there are no more links than a hub has.
+    Up to ALONE links are joined in one task. More go through alternating large and small star: every node hooks its
+    larger neighbours, then its smaller ones, on the smallest node it knows. Rounds are cut by checkpoints; it ends when
+    a round changes nothing. Links of hubs are dealt over all tasks; there is none while there are no more links than a
+    hub has.
     """
     around = lambda links: links.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+    pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
+    # Each row's pairs in one pass: a union would have all that is below planned and scanned once for each side.
+    pairs = lambda links, *of: links.select(F.inline(F.array(*of)))
     edges = cut(found.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     mark, count = None, edges.count()
+    if count <= ALONE:
+        return edges.coalesce(1).mapInArrow(_joined, "node long, root long")
     hooked = lambda links, told: beside(links, told, "v", "u") if 2 * count > common.HOT else links.join(told.drop("n"), "v")
     for _ in range(rounds):
-        both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = around(both).withColumn("m", F.least("v", "m"))
-        large = hooked(both.where("u > v"), least).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        joined = hooked(large, around(large))
-        small = joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(joined.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        edges = cut(small)
+        # In each link, v is larger than u.
+        least = around(pairs(edges, pair("v", "u"), pair("u", "v"))).withColumn("m", F.least("v", "m"))
+        large = hooked(edges.select(F.col("u").alias("v"), F.col("v").alias("u")), least).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        edges = cut(pairs(hooked(large, around(large)), pair("u", "m"), pair("v", "m")).where("v <> u").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
@@ -386,7 +407,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts = own_texts(docs, text(docs), _dealt(buckets(groups)))
     linked = texts.groupBy("bucket", "cell").applyInArrow(_true_links, "a long, b long")
     rooted = nodes.select("node", "least").join(components(linked), "node", "left")
-    kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("best")).select("best.doc_id", F.col("best.tie").alias("same"))
-    whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (text(docs) == kept["same"]), "left_semi")
-    same = spare(docs, "same")
-    return whole.withColumn(same, text(whole)).dropDuplicates(["doc_id", same]).drop(same)
+    best = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("best"))
+    # As one column, in which nulls are equal, id and text deal the rows out for the join and for what equal rows leave, once for both.
+    key = spare(docs, "key")
+    kept = best.select(F.struct(F.col("best.doc_id").alias("doc_id"), F.col("best.tie").alias("same")).alias(key))
+    whole = docs.withColumn(key, F.struct("doc_id", text(docs).alias("same")).cast(kept.schema[key].dataType))
+    return whole.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

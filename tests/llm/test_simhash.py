@@ -104,6 +104,37 @@ def test_components_of_long_paths(spark):
     assert {(r["node"], r["root"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, n)} | {(1001, 1000)}
 
 
+@pytest.mark.parametrize("alone, hot", [(200_000, 200_000), (60, 200_000), (0, 200_000), (0, 8)])
+def test_components_in_one_task_or_by_rounds(spark, monkeypatch, alone, hot):
+    """Paths, hubs, repeats, loops and negative nodes: the same roots either way, also where hubs are dealt out."""
+    monkeypatch.setattr(simhash, "ALONE", alone)
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(alone + hot)
+    pairs = [(100, k) for k in range(101, 130)] + [(k, k + 1) for k in range(-20, 5)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    pairs += [(b, a) for a, b in pairs[::3]] + [(500, 500), (1 << 40, 1 << 33)]
+    rng.shuffle(pairs)
+    up = {x: x for p in pairs for x in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    got = simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((x, r) for x, r in up.items() if x != r)
+    assert simhash.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    """Each round costs the driver the plans and tasks of several jobs, which links that one task can join are not worth."""
+    order = list(range(400))
+    random.Random(3).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert {r["root"] for r in simhash.components(links).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8
+
+
 def near_copies(seed=5):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
