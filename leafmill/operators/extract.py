@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable
+from functools import cache
 from importlib import import_module
 
 import pyarrow as pa
@@ -56,12 +58,18 @@ OUT = pa.struct([("items", ARROW), ("error_type", pa.string()), ("message", pa.s
 ESCAPED = "document.json uses \\u escapes because the text has characters that cannot be encoded as UTF-8"
 
 
+@cache
+def _process(pid: int):
+    """What psutil knows of a process; looking it up takes longer than asking it."""
+    import psutil
+
+    return psutil.Process(pid)
+
+
 def rss_mb() -> float | None:
     """The worker's resident memory, or null where psutil isn't there."""
     try:
-        import psutil
-
-        return round(psutil.Process().memory_info().rss / 2**20, 1)
+        return round(_process(os.getpid()).memory_info().rss / 2**20, 1)
     except Exception:  # a figure that can't be had is no failure
         return None
 
@@ -86,20 +94,27 @@ def _stage(options: Options, backend: Backend):
     return F.arrow_udf(run, f"struct<items:array<{ITEM}>,error_type:string,message:string,seconds:double,rss_mb:double>")
 
 
+def _own_assets(text: Column) -> Column:
+    """The map of with_assets() where only data: links have bytes; null without a link."""
+    found = F.transform(F.array_distinct(links.image_links(text)), lambda k: F.struct(k.alias("link"), F.when(links.kind(k) == "data", links.data_bytes(k)).alias("bytes")))
+    entries = F.transform(found, lambda x: F.struct(x["link"].alias("link"), F.struct(x["bytes"].alias("bytes"), links.warning(x["link"], x["bytes"].isNotNull()).alias("warning")).alias("told")))
+    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
+
+
 def with_assets(jobs: DataFrame, files: DataFrame | None) -> DataFrame:
     """Adds `assets`, a map from each image link of a Markdown text to its bytes or the reason that there are none.
 
     jobs: with path, format and text (see functions.sniffing.decode_text); files: path and content of what local links
-    may refer to. Rows of other formats have null and pass by: their contents meet no join.
+    may refer to. Rows of other formats have null and pass by: their contents meet no join. Without files no row does:
+    what a text links to is in its own row.
     """
+    if files is None:
+        return jobs.withColumn("assets", fence(F.when(F.col("format") == "md", _own_assets(F.col("text.text")))))
     is_md = F.coalesce(F.col("format") == "md", F.lit(False))
     one = jobs.where(is_md).select("path", F.explode(F.array_distinct(links.image_links(F.col("text.text")))).alias("link"))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     one = one.withColumn("kind", links.kind(F.col("link"))).withColumn("target", F.when(F.col("kind") == "file", F.concat(folder, F.lit("/"), links.local_path(F.col("link")))))
-    if files is None:
-        told = one.withColumn("bytes", F.lit(None).cast("binary"))
-    else:
-        told = one.join(files.select(F.col("path").alias("target"), F.col("content").alias("bytes")), "target", "left")
+    told = one.join(files.select(F.col("path").alias("target"), F.col("content").alias("bytes")), "target", "left")
     told = told.withColumn("bytes", F.when(F.col("kind") == "data", links.data_bytes(F.col("link"))).otherwise(F.col("bytes")))
     entry = F.struct("link", F.struct("bytes", links.warning(F.col("link"), F.col("bytes").isNotNull()).alias("warning")))
     maps = told.groupBy("path").agg(F.map_from_entries(F.collect_list(entry)).alias("assets"))
@@ -116,7 +131,7 @@ def extract(jobs: DataFrame, options: Options = Options(), backend: Backend = pd
     with_text = jobs.withColumn("text", fence(decode_text(F.when(F.col("format") == "md", F.col("content")))))
     told = with_assets(with_text, files)
     stage = _stage(options, backend)
-    return told.withColumn("read", stage(F.col("format"), F.when(F.col("format") != "md", F.col("content")), F.when(F.col("format") == "md", F.col("text")), F.col("assets")))
+    return told.withColumn("read", fence(stage(F.col("format"), F.when(F.col("format") != "md", F.col("content")), F.when(F.col("format") == "md", F.col("text")), F.col("assets"))))
 
 
 def page_note(fmt: Column, options: Options) -> Column:

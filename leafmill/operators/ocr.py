@@ -169,7 +169,7 @@ def recognise(documents: DataFrame, factory: Callable[[], Engine] = NoEngine, ba
     asked = F.filter(requests, lambda r: r.isNotNull())
     needs_file = F.exists(asked, lambda r: r["blob"].isNull())
     stage = _stage(factory, backend)
-    out = documents.withColumn("__found", stage(F.when(needs_file, F.col("content")), F.when(F.size(asked) > 0, requests)))
+    out = documents.withColumn("__found", fence(stage(F.when(needs_file, F.col("content")), F.when(F.size(asked) > 0, requests))))
     units = F.transform("units", lambda u, k: _merged(u, F.get(F.col("__found"), k)))
     total = lambda name: F.aggregate("__found", F.lit(0.0), lambda s, r: s + F.coalesce(F.bround(r[name], 2), F.lit(0.0)))
     named = F.get(F.filter(F.transform("__found", lambda r: r["engine"]), lambda e: e.isNotNull()), F.lit(0))

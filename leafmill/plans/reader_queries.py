@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.fence import fence
 from leafmill.plans.process import documents_of
 from leafmill.plans.registry import query, table
 from leafmill.schema import Options
@@ -117,7 +118,8 @@ def jobs_of(spark: SparkSession, sf_dir: str, made: Callable[[int, str, str], by
 
     text = lambda c: F.coalesce(c, F.lit(""))
     path = F.concat(F.lit("/in/"), F.col("c_custkey").cast("string"), F.lit("."), F.lit(made.__name__) if extension is None else extension)
-    rows = spread(table(spark, sf_dir, "customer")).select(path.alias("path"), F.arrow_udf(run, "binary")(F.col("c_custkey").cast("long"), text("c_name"), text("c_mktsegment")).alias("content"))
+    content = fence(F.arrow_udf(run, "binary")(F.col("c_custkey").cast("long"), text("c_name"), text("c_mktsegment")))  # made once, not wherever it is used
+    rows = spread(table(spark, sf_dir, "customer")).select(path.alias("path"), content.alias("content"))
     jobs = rows.select(F.lit(0).alias("input"), F.col("path").alias("source"), "path", F.lit("").alias("rel_dir"), F.substring_index("path", "/", -1).alias("name"), F.length("content").cast("long").alias("length"), "content", F.lit(False).alias("missing"))
     return jobs.select(*(c.split()[0] for c in inputs.COLUMNS.split(", ")))
 

@@ -48,3 +48,11 @@ def test_entry(spark):
 def test_nothing_but_the_entry_names_the_subpackage():
     root = Path(entry.__file__).parent
     assert not [p for p in (root / "leafmill").rglob("*.py") if "llm" not in p.relative_to(root).parts and "leafmill.llm" in p.read_text()]
+
+
+@pytest.mark.parametrize("name", ["read_pdf", "read_docx", "read_markdown"])
+def test_files_are_made_and_read_once(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    stages = [line for line in plan.splitlines() if "ArrowEvalPython [" in line]
+    assert len(stages) == len({line.partition("ArrowEvalPython")[2].partition("(")[0] + line.partition("(")[2][:20] for line in stages}) == 5
+    assert sum("run(c_custkey" in line for line in stages) == 1 and "Join" not in plan
