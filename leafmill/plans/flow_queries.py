@@ -71,6 +71,13 @@ def png(width: int, height: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", width, height, 8, 2, 0, 0, 0) + bytes(4)
 
 
+def _exif(width: int, height: int) -> bytes:
+    """A JPEG's segment with the two sides, 32 bits each."""
+    entry = lambda tag, value: struct.pack("<HHII", tag, 4, 1, value)
+    body = b"II*\0" + struct.pack("<IH", 8, 1) + entry(0x8769, 26) + bytes(4) + struct.pack("<H", 2) + entry(0xA002, width) + entry(0xA003, height) + bytes(4)
+    return b"\xff\xe1" + struct.pack(">H", len(body) + 8) + b"Exif\0\0" + body
+
+
 def picture(key: int, name: str, segment: str) -> bytes:
     """The header of an image, key + 1 wide and 40 high. Every tenth key has a PNG beyond all limits; a TIFF has a second frame, without a size."""
     kind, width, height = KINDS[key % 5], key + 1, 40
@@ -79,7 +86,9 @@ def picture(key: int, name: str, segment: str) -> bytes:
     if kind == "bmp":
         return b"BM" + bytes(12) + struct.pack("<Iii", 40, width, -height) + bytes(24)
     if kind == "jpg":
-        return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0" + struct.pack(">HBHHB", 11, 8, height, width, 1) + bytes(3) + b"\xff\xd9"
+        # A width of more than 16 bits is in Exif alone.
+        exif = b"" if width <= 0xFFFF else _exif(width, height)
+        return b"\xff\xd8\xff\xe0\x00\x04ab" + exif + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, height, width if not exif else 0, 1) + bytes(3) + b"\xff\xd9"
     if kind == "webp":
         return b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes(8) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
     entry = lambda tag, value: struct.pack("<HHII", tag, 4, 1, value)

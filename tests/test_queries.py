@@ -56,3 +56,13 @@ def test_files_are_made_and_read_once(spark, name):
     stages = [line for line in plan.splitlines() if "ArrowEvalPython [" in line]
     assert len(stages) == len({line.partition("ArrowEvalPython")[2].partition("(")[0] + line.partition("(")[2][:20] for line in stages}) == 5
     assert sum("run(c_custkey" in line for line in stages) == 1 and "Join" not in plan
+
+
+def test_pictures_wider_than_16_bits():
+    from leafmill.plans.flow_queries import picture
+    from leafmill.sources.images import frames
+
+    for key in (65532, 65537, 2_499_997, 5_399_997, 5_399_991, 5_399_993, 5_399_994):
+        assert frames(picture(key, "", ""))[0] == (key + 1, 40)
+    whole = picture(65537, "", "")
+    assert frames(whole.replace(b"Exif\0\0", b"Exif\0\1"))[0] == (0, 40)  # nobody says how wide it is
