@@ -182,9 +182,9 @@ def judge_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_custkey || '.md' AS name, 'ok' AS status, sha256(t) AS sha256, 1 AS unit_count, t AS text, 'image file not found: none-' || c_custkey || '.png' AS warnings, false AS write_failed
 FROM (SELECT c_custkey, '# ' || coalesce(c_name, '') || chr(10) || chr(10) || 'of ' || coalesce(c_mktsegment, '') || chr(10) || chr(10) || '![k](none-' || c_custkey || '.png)' || chr(10) AS t FROM customer)""")
 def results_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document.json for each customer, written to a folder of its own and read back."""
+    """A document.json for each customer, written to a folder of its own and read back; a thousand folders hold those, so that none is very large."""
     root = shared_folder(spark, "results")
-    documents = documents_of(jobs_of(spark, sf_dir, md), Options(deterministic=True)).withColumn("folder", F.concat(F.lit(root + "/"), "name"))
+    documents = documents_of(jobs_of(spark, sf_dir, md), Options(deterministic=True)).withColumn("folder", F.concat_ws("/", F.lit(root), (key_of() % 1000).cast("string"), "name"))
     wrote = results.write_documents(documents)
     failed = wrote.where("write_error is not null").count()
     back = results.read_documents(spark, root).withColumn("name", F.substring_index("folder", "/", -1))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from leafmill.schema import DOCUMENT
 
+_HIDDEN = re.compile(r"^\.|^_(?!.*=)|\._COPYING_$")
 ALWAYS = ["index", "kind", "origin", "status", "reason", "text", "markdown", "warnings"]
 OPTIONAL = ["page", "name", "page_width_pt", "page_height_pt", "text_layer", "seconds", "error_type", "message"]
 
@@ -46,7 +50,7 @@ def document_json(d: dict[str, Column] | None = None) -> Column:
 
 
 def fs_of(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +76,65 @@ def write_documents(documents: DataFrame) -> DataFrame:
     return documents.select("folder", document_json().alias("json")).mapInArrow(_store, "folder string, write_error string")
 
 
+def _below(folder: str) -> Iterator[tuple[str, bool]]:
+    """Paths right below a folder and whether each is one itself, without what Spark's listings hide. A local folder is never held whole."""
+    fs, at = fs_of(folder)
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(at) as found:
+            for e in found:
+                if not _HIDDEN.search(e.name):
+                    yield f"{folder.rstrip('/')}/{e.name}", e.is_dir()
+        return
+    for f in fs.get_file_info(pafs.FileSelector(at)):
+        if not _HIDDEN.search(f.base_name):
+            yield f"{folder.rstrip('/')}/{f.base_name}", f.type == pafs.FileType.Directory
+
+
+def _rows(rows: Iterator[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
+def _documents_below(path: str, is_folder: bool) -> Iterator[tuple[str]]:
+    stack = [(path, is_folder)]
+    while stack:
+        at, deeper = stack.pop()
+        if deeper:
+            stack += [x for x in _below(at) if x[1] or x[0].endswith("/document.json")]
+        elif at.endswith("/document.json"):
+            yield (at,)
+
+
+def _content(path: str) -> bytes:
+    fs, at = fs_of(path)
+    with fs.open_input_stream(at) as data:
+        return data.read()
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All document.json below a folder, by schema.DOCUMENT, and the `folder` of each; keys that the schema doesn't have are passed over."""
-    found = spark.read.schema(DOCUMENT).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "document.json").json(folder)
-    return found.select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"))
+    """All document.json below a folder, by schema.DOCUMENT, and the `folder` of each; keys that the schema doesn't have are passed over.
+
+    Tasks list and read: one what lies right below the folder, many what lies deeper. No file is known to the driver.
+    """
+    fs, at = fs_of(folder)
+    local = isinstance(fs, pafs.LocalFileSystem)
+    root, shown = (at, lambda path: "file://" + quote(path, safe="/!$&'()*+,;=:@~-._")) if local else (folder, str)
+    entry, one = pa.schema([("path", pa.string()), ("is_folder", pa.bool_())]), pa.schema([("path", pa.string())])
+    text = pa.schema([("path", pa.string()), ("json", pa.binary())])
+    each = lambda b: zip(*(b.column(c).to_pylist() for c in b.schema.names))
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        list(batches)
+        yield from _rows(_below(root), entry, 1000)
+
+    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows((d for b in batches for row in each(b) for d in _documents_below(*row)), one, 1000)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(((shown(path), _content(path)) for b in batches for (path,) in each(b)), text, 100)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    found = spark.range(1).coalesce(1).mapInArrow(top, "path string, is_folder boolean").repartition(tasks)
+    paths = found.mapInArrow(deeper, "path string").repartition(tasks)
+    told = paths.mapInArrow(read, "path string, json binary").where("length(json) > 0")
+    return told.select(F.from_json(F.col("json").cast("string"), DOCUMENT).alias("d"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")).select("d.*", "folder")

@@ -235,3 +235,17 @@ def test_counts_are_told_once_files_are_read(spark, inbox, tmp_path):
     found, _ = process_to(spark, [str(inbox / "fine.pdf"), str(inbox / "scan.pdf"), "/nowhere/x.pdf"], str(tmp_path / "out"), Options(), fakes.FakeEngine, fakes.FakePdf, told.append)
     units = found.agg({"unit_count": "sum"}).first()[0]
     assert len(told) == 1 and told[0]["documents"] == 3 and told[0]["error"] == 1 and told[0]["units"] == units and 0 < told[0]["ocr_units"] < units
+
+
+def test_results_are_listed_by_tasks(spark, tmp_path):
+    for k in range(30):
+        at = tmp_path / ("a" if k % 2 else "b/c d") / f"{k}.md"
+        at.mkdir(parents=True)
+        (at / "document.json").write_text(json.dumps({"source": f"s{k}", "unit_count": k, "units": [], "more": 1}))
+        (at / "other.json").write_text("{}")
+    for hidden in (".x", "_x"):
+        (tmp_path / hidden).mkdir()
+        (tmp_path / hidden / "document.json").write_text("{}")
+    back = read_documents(spark, str(tmp_path))
+    assert not list(back.inputFiles())  # the driver knows of no file
+    assert sorted((r["source"], r["unit_count"], r["folder"].rpartition("/")[2]) for r in back.collect()) == sorted((f"s{k}", k, f"{k}.md") for k in range(30))
