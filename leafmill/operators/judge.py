@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from contextlib import ExitStack
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -18,6 +19,7 @@ from leafmill.functions.fence import fence
 from leafmill.functions.pages import is_sampled
 from leafmill.operators.extract import Backend
 from leafmill.schema import as_error
+from leafmill.session import cut
 from leafmill.sources import pdf
 
 # Fixed value: what is said where a PDF has no page to judge, or isn't there.
@@ -83,6 +85,7 @@ def with_pdf(pages: DataFrame, files: DataFrame) -> DataFrame:
 
     Paths are settled first; contents come last, and only of files that pages were sampled from.
     """
+    pages = cut(pages)  # they are read three times below, and cost an OCR run each time
     where = located(pages, files)
     wanted = files.select(F.col("path").alias("pdf_path"), F.col("content").alias("pdf")).join(where.select("pdf_path").distinct(), "pdf_path", "left_semi")
     return pages.join(where, "source", "left").join(wanted, "pdf_path", "left").drop("pdf_path")
@@ -94,6 +97,7 @@ ASKED = pa.struct([("reply", pa.string()), ("seconds", pa.float64()), ("tokens_i
 def _stage(factory: Callable[[], Judge], backend: Backend):
     def run(content: pa.Array, page: pa.Array, prompt: pa.Array) -> pa.Array:
         judge, out = None, []
+        held, opened = None, ExitStack()  # the PDF of the row before, which often is that of this row too
         for c, n, p in zip(content, page, prompt):
             row = {"reply": None, "seconds": None, "tokens_in": None, "tokens_out": None, "error": None}
             if not c.is_valid:
@@ -102,10 +106,14 @@ def _stage(factory: Callable[[], Judge], backend: Backend):
             began = time.perf_counter()
             try:
                 judge = judge or factory()
-                with backend().open(c.as_py()) as doc:
-                    size = doc.page(n.as_py())
-                    longest = max(size.width, size.height) / 72
-                    png = doc.render(n.as_py(), max(50, min(200, int(1568 / longest))))
+                if held is None or held != c.as_py():
+                    held = None
+                    opened.close()
+                    doc = opened.enter_context(backend().open(c.as_py()))
+                    held = c.as_py()
+                size = doc.page(n.as_py())
+                longest = max(size.width, size.height) / 72
+                png = doc.render(n.as_py(), max(50, min(200, int(1568 / longest))))
                 began = time.perf_counter()
                 got = judge.ask(p.as_py(), png)
                 if got.cut_short:
@@ -115,6 +123,7 @@ def _stage(factory: Callable[[], Judge], backend: Backend):
                 kind, message = as_error(e)
                 row["error"] = f"{kind}: {message[:200]}"
             out.append(row | {"seconds": round(time.perf_counter() - began, 2)})
+        opened.close()
         return pa.array(out, ASKED)
 
     return F.arrow_udf(run, "struct<reply:string,seconds:double,tokens_in:bigint,tokens_out:bigint,error:string>")
