@@ -1,6 +1,6 @@
 """Is a text layer trustworthy? Counts by character class, metrics, a verdict, and the route of a page.
 
-All are native expressions. They come in steps (pieces, sorted_out, counts, metrics, verdict, route), each over the
+All are native expressions, but for the counts of a column of texts (see charcount). They come in steps (pieces, sorted_out, counts, metrics, verdict, route), each over the
 struct that the step before gave, so that a regular expression runs once whether the steps are columns of a DataFrame
 or are nested in transform() over an array of pages.
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import charclass as cc
+from leafmill.functions.charcount import counts_of
 from leafmill.functions.fence import fence
 from leafmill.schema import Thresholds
 
@@ -194,8 +195,9 @@ def text_layer(chars: Column, cover: Column, paths: Column, m: Column, r: Column
 
 
 def _measured(df: DataFrame, text: Column, into: str) -> DataFrame:
-    out = df.withColumn("__p", fence(pieces(text))).withColumn("__s", fence(sorted_out(F.col("__p")))).withColumn("__c", fence(counts(F.col("__s"))))
-    return out.withColumn(into, metrics(F.col("__c"))).drop("__p", "__s", "__c")
+    """With metrics() of a text, whose counts come from one look at each character instead of counts()."""
+    out = df.withColumn("__c", fence(counts_of(text)))
+    return out.withColumn(into, fence(metrics(F.col("__c")))).drop("__c")
 
 
 def with_metrics(df: DataFrame, text: str = "text", into: str = "metrics") -> DataFrame:

@@ -128,3 +128,18 @@ def test_profile_keeps_other_columns_and_empty_tables(spark):
     df = spark.createDataFrame([("a b", 1)], "text string, chars int")
     assert Q.with_metrics(df).columns == ["text", "chars", "metrics"]
     assert Q.with_metrics(df.limit(0)).count() == 0
+
+
+def test_counts_by_classes_are_those_by_expressions(spark):
+    import random
+
+    from leafmill.functions import charcount
+    from leafmill.functions import quality as Q
+
+    rng = random.Random(7)
+    pools = ["ab z.!~", " \t\n\x1c\x85\xa0\u2003\u3000", "\x00\x01\x7f\x9f\ue000\ufffd\ufffe\U000f0000\U0010ffff", "\u0939\u093f\u0902\u094d\u0915\u200c\u200d\u0978\u0af9\ua8ff", "\u0633\u0644\ufe8d\u061d", "\xd7\u2013\u20ac\u25a0", "\xe9\u4e2d\U0001f600\u0378\u1c80\U0001faf9"]
+    texts = ["", " ", *("".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 60))) for _ in range(600)), *map(chr, range(1, 0xD800, 7)), *("a" + chr(c) for c in range(0xE000, 0x30000, 11))]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, t string")
+    told = Q.counts(Q.sorted_out(Q.pieces(F.col("t"))))
+    got = df.select("k", "t", charcount.counts_of(F.col("t")).alias("new"), told.alias("old")).collect()
+    assert len(got) == len(texts) + 1 and not [r for r in got if r["new"] != r["old"]]
