@@ -75,7 +75,7 @@ def rss_mb() -> float | None:
 
 
 def _stage(options: Options, backend: Backend):
-    def run(kind: pa.Array, content: pa.Array, text: pa.Array, assets: pa.Array) -> pa.Array:
+    def read(kind: pa.Array, content: pa.Array, text: pa.Array, assets: pa.Array) -> list[dict]:
         out = []
         for k, c, t, a in zip(kind, content, text, assets):
             began = time.perf_counter()
@@ -89,7 +89,10 @@ def _stage(options: Options, backend: Backend):
                 except Exception as e:  # whatever a file does to its reader becomes that file's error
                     row["error_type"], row["message"] = map(items.clean, as_error(e))
             out.append(row | {"seconds": time.perf_counter() - began, "rss_mb": rss_mb()})
-        return pa.array(out, OUT)
+        return out
+
+    def run(kind: pa.Array, content: pa.Array, text: pa.Array, assets: pa.Array) -> pa.Array:
+        return items.by_slices(read, OUT, kind, content, text, assets)
 
     return F.arrow_udf(run, f"struct<items:array<{ITEM}>,error_type:string,message:string,seconds:double,rss_mb:double>")
 

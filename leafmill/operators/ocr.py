@@ -26,7 +26,7 @@ from leafmill.operators.units import FIELDS
 from leafmill.schema import BLOCK, ReadError, as_error
 from leafmill.sources import pdf
 from leafmill.sources.images import upright_png
-from leafmill.sources.items import clean
+from leafmill.sources.items import by_slices, clean
 
 
 # A worker's environment before it makes an engine. Checkpoints are local: nothing goes to the network.
@@ -119,7 +119,7 @@ def _recognise(request: dict, content: bytes | None, doc, key: str, factory) ->
 def _stage(factory: Callable[[], Engine], backend: Backend):
     key = uuid.uuid4().hex
 
-    def run(content: pa.Array, requests: pa.Array) -> pa.Array:
+    def read(content: pa.Array, requests: pa.Array) -> list[list]:
         out = []
         for c, rs in zip(content, requests):
             rs, data = rs.as_py() or [], c.as_py()
@@ -134,7 +134,10 @@ def _stage(factory: Callable[[], Engine], backend: Backend):
             out.append([None if r is None else _recognise(r, data, doc, key, factory) for r in rs])
             if len(opened) == 2:
                 opened[0].__exit__(None, None, None)
-        return pa.array(out, pa.list_(RESULT))
+        return out
+
+    def run(content: pa.Array, requests: pa.Array) -> pa.Array:
+        return by_slices(read, pa.list_(RESULT), content, requests)
 
     return F.arrow_udf(run, f"array<{RESULT_DDL}>")
 

@@ -17,6 +17,7 @@ from leafmill.plans.registry import query, table
 from leafmill.schema import Options
 from leafmill.session import spread
 from leafmill.sources import inputs
+from leafmill.sources.items import by_slices
 
 # XML names.
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -114,7 +115,7 @@ def jobs_of(spark: SparkSession, sf_dir: str, made: Callable[[int, str, str], by
     """A file for each customer, as by inputs.scan(); its extension is the maker's name unless another is given."""
 
     def run(key: pa.Array, name: pa.Array, segment: pa.Array) -> pa.Array:
-        return pa.array([made(*row) for row in zip(key.to_pylist(), name.to_pylist(), segment.to_pylist())], pa.binary())
+        return by_slices(lambda *columns: [made(*row) for row in zip(*(c.to_pylist() for c in columns))], pa.binary(), key, name, segment)
 
     text = lambda c: F.coalesce(c, F.lit(""))
     path = F.concat(F.lit("/in/"), F.col("c_custkey").cast("string"), F.lit("."), F.lit(made.__name__) if extension is None else extension)

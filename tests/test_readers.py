@@ -107,3 +107,19 @@ def test_a_damaged_tiff_frame_is_one_error():
     assert [(x["what"], x["page"]) for x in images.read(cut, [(2, 2)], "2")] == [("error", 2)]
     with pytest.raises(ReadError):
         images.read(whole[:second] + b"\xff\xff")
+
+
+def test_a_batch_is_read_by_slices():
+    import pyarrow as pa
+
+    from leafmill.sources import items
+
+    sizes = []
+
+    def run(a, b):
+        sizes.append(len(a))
+        return [x + y for x, y in zip(a.to_pylist(), b.to_pylist())]
+
+    got = items.by_slices(run, pa.int64(), pa.array(range(1001)), pa.array(range(1001)))
+    assert got.to_pylist() == [2 * k for k in range(1001)] and max(sizes) == items.SLICE
+    assert len(items.by_slices(run, pa.int64(), pa.array([], pa.int64()), pa.array([], pa.int64()))) == 0
